@@ -63,7 +63,7 @@ def shard(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", l
     of the bucket (``bits.partition.part``), each within the limit unless it is one row that alone exceeds it. Null keys hash as the empty string. Columns of those four names are replaced.
     """
     own = ("shard_id", "shard_depth", "shard_bytes", "n_bytes")
-    base = docs.drop(*own).withColumn("__from", F.spark_partition_id()).withColumn("__h", _hash(F.col(key_col))).withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
+    base = docs.drop(*own).withColumn("__from", F.spark_partition_id()).withColumn("__h", _hash(F.col(key_col))).withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).withColumn("__order", F.xxhash64(text_col))
     dirs = settle(directory(base.select(F.col("__h").alias("h"), "n_bytes"), limit))
     depths = [r["depth"] for r in dirs.select("depth").distinct().collect()]  # at most BITS + 1 rows
     tries = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("__h"), d).alias("prefix")) for d in sorted(depths)] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))]))
@@ -74,13 +74,13 @@ def shard(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", l
     whole = rows.where(F.col("shard_bytes") <= limit)
     over = rows.where(F.col("shard_bytes") > limit)
     # what is left is one repeated key: cut its running byte count; a row that crosses a limit opens the next part
-    w = Window.partitionBy("shard_id", "__from").orderBy("n_bytes", F.xxhash64(text_col))
+    w = Window.partitionBy("shard_id", "__from").orderBy("n_bytes", "__order")
     before = F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1))
     half = max(1, limit // 2)
     part = F.when(F.col("n_bytes") > half, F.row_number().over(w) + F.lit(1 << 40)).otherwise(F.floor(F.coalesce(before, F.lit(0)) / F.lit(half)))
     over = over.withColumn("__part", part).withColumn("shard_id", F.concat_ws(".", "shard_id", F.col("__from").cast("string"), F.col("__part").cast("string")))
     over = over.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("shard_id"))).drop("__part")
-    return whole.unionByName(over).drop("__h", "__k", "__from", "prefix")
+    return whole.unionByName(over).drop("__h", "__k", "__from", "__order", "prefix")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
