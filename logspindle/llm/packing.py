@@ -7,6 +7,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ SENTENCE_CUT, HARD_CUT, SEQUENCE = 4, 32, 16
 #: Tokens of a partition that are planned together.
 CHUNK = 1 << 20
 #: Entries that a task's word cache may hold.
-CACHE = 300_000
+CACHE = 500_000
 #: Parts of more characters aren't kept.
 LONG = 64
 # Letters of Latin-1, then ASCII signs but the apostrophe, which the tokenizer may join to letters.
@@ -52,7 +53,8 @@ class Encoder:
         self.cache: dict[str, bytes] = {"": b""}
         self.ends_piece = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_piece[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.sentence_ends = np.array([i for t in (".", "!", "?") if (i := self.tokenizer.token_to_id(t + "</w>")) is not None], np.uint32)
+        self.ends_sentence = np.zeros(len(self.ends_piece), bool)
+        self.ends_sentence[[i for t in (".", "!", "?") if (i := self.tokenizer.token_to_id(t + "</w>")) is not None]] = True
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that are one piece each to the tokenizer: encoded many at once, cut where a token ends a piece."""
@@ -67,19 +69,18 @@ class Encoder:
     def _learn(self, fresh: set[str]) -> dict[str, bytes]:
         """Ids of parts that are new. A word and the signs after it are pieces of their own to the tokenizer, whatever the word's case."""
         cache = self.cache
-        pairs, known, fits = [], {}, _WORD_AND_SIGNS.fullmatch
-        for p in fresh:
-            if m := fits(p):
-                pairs.append((p, m[1].lower(), m[2]))
-            else:
+        got = [_WORD_AND_SIGNS.fullmatch(p) for p in fresh]
+        words = [m[1].lower() for m in got if m]
+        signs = [m[2] for m in got if m]
+        new = list(set(words).union(signs).difference(cache))
+        pieces = self._words(new) if new else {}
+        pieces[""] = b""
+        ids_of = lambda x: pieces[x] if x in pieces else cache[x]
+        ends = {s: ids_of(s) for s in set(signs)}
+        known = {m.string: ids_of(w) + ends[s] for m, w, s in zip(filter(None, got), words, signs, strict=True)}
+        for p, m in zip(fresh, got, strict=True):
+            if not m:
                 known[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
-        words = list({w for _, w, _ in pairs}.union(s for _, _, s in pairs).difference(cache))
-        pieces = self._words(words) if words else {}
-        for p, word, signs in pairs:
-            ids = pieces[word] if word in pieces else cache[word]
-            if signs:
-                ids += pieces[signs] if signs in pieces else cache[signs]
-            known[p] = ids
         return known
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
@@ -97,6 +98,12 @@ class Encoder:
         return out
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder; what it has learned serves its later tasks."""
+    return Encoder(path)
+
+
 def plan(ends: np.ndarray, sentences: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Ends of the sequences of a stream of ``ends[-1]`` tokens.
 
@@ -106,20 +113,24 @@ def plan(ends: np.ndarray, sentences: np.ndarray, length: int = LENGTH) -> np.nd
     with j, so a monotone queue gives it in constant time.
     """
     total = int(ends[-1])
-    b = np.union1d(np.concatenate([[0], ends]), sentences)
-    b = b[b <= total]
+    pen_at = np.full(total + 1, -1, np.int64)  # by position, -1 where no boundary is
+    pen_at[sentences[sentences <= total]] = SENTENCE_CUT
+    pen_at[ends] = pen_at[0] = 0
+    b = np.flatnonzero(pen_at >= 0)
     gaps = np.flatnonzero(np.diff(b) > length)
     if len(gaps):  # no boundary within reach: cuts at full length
-        b = np.union1d(b, np.concatenate([np.arange(b[g] + length, b[g + 1], length) for g in gaps]))
-    pen = np.full(len(b), HARD_CUT, np.int64)
-    pen[np.isin(b, sentences)] = SENTENCE_CUT
-    pen[np.isin(b, ends)] = 0
+        pen_at[np.concatenate([np.arange(b[g] + length, b[g + 1], length) for g in gaps])] = HARD_CUT
+        b = np.flatnonzero(pen_at >= 0)
+    pen = pen_at[b]
+    index = pen_at
+    index[b] = np.arange(len(b))
     exact: dict[int, list[int]] = {}
     size = 1
     while size < length:
-        at = np.minimum(np.searchsorted(b, b - size), len(b) - 1)
-        for j in np.flatnonzero((b[at] == b - size) & (b >= size)).tolist():
-            exact.setdefault(j, []).append(int(at[j]))
+        j = np.searchsorted(b, size)
+        at = index[b[j:] - size]
+        for k in np.flatnonzero(at >= 0).tolist():
+            exact.setdefault(int(j) + k, []).append(int(at[k]))
         size *= 2
     pos, cost = b.tolist(), (pen + SEQUENCE).tolist()
     f, back = [0] * len(pos), [0] * len(pos)
@@ -178,14 +189,14 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             yield ids, tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         end = np.array([END], np.uint32)
         for docs_, tokens in chunks(batches, encoder):
             stream = np.concatenate([x for t in tokens for x in (t, end)])
             sizes = np.array([len(t) + 1 for t in tokens], np.int64)
             ends = np.cumsum(sizes)
-            cuts = plan(ends, np.flatnonzero(np.isin(stream, encoder.sentence_ends)) + 1, length)
+            cuts = plan(ends, np.flatnonzero(encoder.ends_sentence[stream]) + 1, length)
             stops = np.union1d(ends, cuts)
             starts = np.concatenate([[0], stops[:-1]])
             doc, seq = np.searchsorted(ends, starts, "right"), np.searchsorted(cuts, starts, "right")
