@@ -159,27 +159,23 @@ def sets(docs: DataFrame) -> DataFrame:
     return _map(docs, "doc_id long, hashes array<long>", lambda ids, row, g, n: pa.RecordBatch.from_arrays([ids, _lists(row, g, len(n))], ["doc_id", "hashes"]))
 
 
-def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a < b) of ``reps`` (id, n, keys) that share a key and whose sizes allow a link.
+def candidates(reps: DataFrame) -> DataFrame:
+    """Pairs (a < b) of ``reps`` (id, keys) that share a key.
 
-    Members of a key group of up to ``GROUP`` are paired with each other. In a larger one each member is paired with the
-    group's leaders: its smallest id and the one with the smallest hash.
+    Members of a key group of up to ``GROUP`` are paired with each other. In a larger one each member is paired with one of the
+    group's leaders, its smallest and its largest id, by the key: near copies share dozens of keys and so meet both.
     """
-    rows = reps.select("id", "n", F.explode("keys").alias("key"))
-    lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("low"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("any"))
+    rows = reps.select("id", F.explode("keys").alias("key"))
+    lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
     lead = settle(lead.where(F.col("size") > 1))  # the join below deals both sides anew, so that AQE can split large keys
-    shared = settle(rows.join(lead, "key"))
-    some = shared.where(F.col("size") <= GROUP).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("m"))
-    inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y: (y["id"] > x["id"]) & fits(x["n"], y["n"], percent)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    pairs = some.select(F.explode(F.array_distinct(inner)).alias("p")).select("p.a", "p.b")
-    many = shared.where(F.col("size") > GROUP)
-    many = many.select("id", "n", F.explode(F.array(F.struct(F.col("low.id").alias("id"), F.col("low.n").alias("n")), F.struct(F.col("any.id").alias("id"), F.col("any.n").alias("n")))).alias("o"))
-    many = many.where((F.col("id") != F.col("o.id")) & fits(F.col("n"), F.col("o.n"), percent)).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
-    return pairs.unionByName(many).distinct()
-
-
-def fits(n, m, percent: int):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    two = lead.where(F.col("size") == 2).select(F.col("low").alias("a"), F.col("high").alias("b"))
+    shared = settle(rows.join(lead.where(F.col("size") > 2), "key"))
+    some = shared.where(F.col("size") <= GROUP).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
+    inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, GROUP), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = some.select(F.explode(inner).alias("p")).select("p.a", "p.b")
+    many = shared.where(F.col("size") > GROUP).select("id", F.when(F.col("key") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("o"))
+    many = many.where(F.col("id") != F.col("o")).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
+    return two.unionByName(pairs).unionByName(many).distinct()
 
 
 def verify(pairs: DataFrame, hashed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -226,7 +222,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     base = settle(sketches(rows, percent))
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    pairs = settle(candidates(reps.select("id", F.col("n_shingles").alias("n"), "keys"), percent))
+    pairs = settle(candidates(reps.select("id", "keys")))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     hashed = settle(sets(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("id"), "hashes"))
     # first each id with its smallest partner, then what that hasn't joined
