@@ -24,6 +24,8 @@ BLOCKS = 56
 FULL = 2
 #: Members of a key group that are compared with each other; members of larger groups are compared with leaders.
 GROUP = 24
+#: So many ids at most (8 MB) are broadcast to pick the texts to verify; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 #: Bytes of text handled at once (a longer document alone).
 RUN = 2 << 20
 
@@ -223,7 +225,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
     pairs = settle(candidates(reps.select("id", "keys")))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = settle(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     hashed = settle(sets(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("id"), "hashes"))
     # first each id with its smallest partner, then what that hasn't joined
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
