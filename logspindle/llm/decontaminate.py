@@ -17,7 +17,7 @@ WINDOW = 10
 #: Extra words that a proximity match may hold.
 SLOP = 3
 #: Bytes of text of an index segment (a longer document is a segment of its own).
-SEGMENT = 6 << 20
+SEGMENT = 3 << 20
 #: Positions left free between documents, so that no match spans two.
 GAP = 64
 #: Bytes of test items that go to the executors at once; more are searched in blocks.

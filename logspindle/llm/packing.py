@@ -26,7 +26,7 @@ SENTENCE_CUT, HARD_CUT, SEQUENCE = 4, 32, 16
 #: Tokens of a partition that are planned together.
 CHUNK = 1 << 20
 #: Entries that a task's word cache may hold.
-CACHE = 500_000
+CACHE = 150_000
 #: Parts of more characters aren't kept.
 LONG = 64
 # Letters of Latin-1, then ASCII signs but the apostrophe, which the tokenizer may join to letters.
@@ -87,13 +87,14 @@ class Encoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = set().union(*split).difference(self.cache)
         if fresh:
-            if len(self.cache) + 2 * len(fresh) > CACHE:
+            if len(self.cache) + len(fresh) > CACHE:
                 self.cache = {"": b""}
                 fresh = set().union(*split).difference(self.cache)
             self.cache.update(self._learn(fresh))
         out = [np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), np.uint32) for parts in split]
-        for p in fresh:
-            if len(p) > LONG:
+        # most new words never come again; a quarter is kept, so those that do come again soon stay
+        for i, p in enumerate(fresh):
+            if i & 3 or len(p) > LONG:
                 del self.cache[p]
         return out
 

@@ -39,14 +39,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
+    """The first ``n`` powers: 2**14 are kept, the others are their products with powers of the last."""
+    if name not in _powers:
+        steps = np.full((1 << 14) + 1, base, np.uint64)
         steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if n <= 1 << 22:
-            _powers[name] = have
-    return have[:n]
+        _powers[name] = np.cumprod(steps, dtype=np.uint64)
+    low = _powers[name][:-1]
+    if n <= len(low):
+        return low[:n]
+    high = np.full((n + len(low) - 1) >> 14, _powers[name][-1], np.uint64)
+    high[0] = 1
+    return (np.cumprod(high, dtype=np.uint64)[:, None] * low[None, :]).ravel()[:n]
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
