@@ -26,7 +26,48 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with the package at hand on the executors."""
+#: What a Python worker keeps between tasks, for the kind of task that asked for it last.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """``make()``, or what it gave to an earlier task of this worker; tasks of another kind let it go."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def trim() -> None:
+    """Returns freed memory to the system: idle workers and the JVM share an executor's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def map_arrow(df: DataFrame, function, schema, keeps: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` with the package at hand on the executors, and lean workers. ``keeps``: the key of what the function keeps."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        if _kept and keeps not in _kept:
+            _kept.clear()
+
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                trim()
+
+        yield from function(each())
+        trim()
+
+    return df.mapInArrow(run, schema)
