@@ -7,7 +7,6 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import map_arrow
+from ..ship import kept, map_arrow
 
 #: Tokens of a sequence.
 LENGTH = 2048
@@ -26,7 +25,7 @@ SENTENCE_CUT, HARD_CUT, SEQUENCE = 4, 32, 16
 #: Tokens of a partition that are planned together.
 CHUNK = 1 << 20
 #: Entries that a task's word cache may hold.
-CACHE = 150_000
+CACHE = 250_000
 #: Parts of more characters aren't kept.
 LONG = 64
 # Letters of Latin-1, then ASCII signs but the apostrophe, which the tokenizer may join to letters.
@@ -92,19 +91,12 @@ class Encoder:
                 fresh = set().union(*split).difference(self.cache)
             self.cache.update(self._learn(fresh))
         out = [np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), np.uint32) for parts in split]
-        # most new words never come again; a quarter is kept, so those that do come again soon stay
-        for i, p in enumerate(fresh):
-            if i & 3 or len(p) > LONG:
+        for p in fresh:
+            if len(p) > LONG:
                 del self.cache[p]
         return out
 
 
-@lru_cache(2)
-def encoder_of(path: str) -> Encoder:
-    """A worker's encoder; what it has learned serves its later tasks."""
-    return Encoder(path)
-
-
 def plan(ends: np.ndarray, sentences: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Ends of the sequences of a stream of ``ends[-1]`` tokens.
 
@@ -190,7 +182,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             yield ids, tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = kept(path, lambda: Encoder(path))
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         end = np.array([END], np.uint32)
         for docs_, tokens in chunks(batches, encoder):
@@ -210,7 +202,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             base += len(cuts)
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema, keeps=path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
