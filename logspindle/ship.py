@@ -10,6 +10,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch at most: texts of some kilobytes make batches of some megabytes, in the JVM and in Python.
+BATCH_ROWS = 1000
+#: Bytes of batches after which a worker hands freed memory back.
+TRIM_BYTES = 32 << 20
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,17 +60,24 @@ def trim() -> None:
 
 def map_arrow(df: DataFrame, function, schema, keeps: str | None = None) -> DataFrame:
     """``df.mapInArrow`` with the package at hand on the executors, and lean workers. ``keeps``: the key of what the function keeps."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
     def run(batches):
         if _kept and keeps not in _kept:
             _kept.clear()
 
         def each():
+            seen = 0
             for batch in batches:
+                seen += batch.nbytes
                 yield batch
                 del batch
-                trim()
+                if seen > TRIM_BYTES:
+                    seen = 0
+                    trim()
 
         yield from function(each())
         trim()
