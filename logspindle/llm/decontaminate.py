@@ -31,13 +31,7 @@ def _spread(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, *, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """Token postings of ``docs``: a row for each segment of documents, with positions by term hash.
-
-    ``terms`` (sorted 64-bit hashes) restricts the postings to these; None keeps all. A segment's positions count
-    words through its documents, ``GAP`` free ones between two; ``first`` has each document's first position.
-    """
-
+def _indexer(terms: np.ndarray | None, segment: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = tv.text_buffer(batch.column(1))
@@ -62,7 +56,20 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, *, id_col: str
                 doc = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids.slice(lo, hi - lo).cast(pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, one(n), one(first), one(h[cut].view(np.int64)), one((cut + 1).astype(np.int64)), one(pos)], ["segment_docs", "n_words", "first", "terms", "ends", "positions"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, _INDEX)
+    return make
+
+
+def build_index(docs: DataFrame, terms: np.ndarray | None = None, *, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """Token postings of ``docs``: a row for each segment of documents, with positions by term hash.
+
+    ``terms`` (sorted 64-bit hashes) restricts the postings to these; None keeps all. A segment's positions count
+    words through its documents, ``GAP`` free ones between two; ``first`` has each document's first position.
+    """
+    return map_arrow(_texts(docs, id_col, text_col), _indexer(terms, segment), _INDEX)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def windows_of(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple[str, np.ndarray]]:
@@ -111,8 +118,7 @@ def _near(lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[ok], length[ok]
 
 
-def search(index: DataFrame, windows: list[tuple[str, np.ndarray]], *, slop: int | None = SLOP) -> DataFrame:
-    """A row for each document of ``index``, with the windows found: kind ``phrase`` (word for word) or ``proximity``."""
+def _finder(windows: list[tuple[str, np.ndarray]], slop: int | None):
     names = [item for item, _ in windows]
     hashes = [h for _, h in windows]
 
@@ -142,7 +148,19 @@ def search(index: DataFrame, windows: list[tuple[str, np.ndarray]], *, slop: int
                 kind = pa.list_(pa.struct([("item_id", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("length", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array([rows.get(d, []) for d in range(len(n))], kind)], ["doc_id", "n_words", "matches"])
 
-    return map_arrow(index, find, _FOUND)
+    return find
+
+
+def search(index: DataFrame, windows: list[tuple[str, np.ndarray]], *, slop: int | None = SLOP) -> DataFrame:
+    """A row for each document of ``index``, with the windows found: kind ``phrase`` (word for word) or ``proximity``."""
+    return map_arrow(index, _finder(windows, slop), _FOUND)
+
+
+def search_once(docs: DataFrame, windows: list[tuple[str, np.ndarray]], *, id_col: str = "doc_id", text_col: str = "text", slop: int | None = SLOP) -> DataFrame:
+    """``search`` on an index that isn't kept: each segment is built, searched and let go in one worker."""
+    terms = np.unique(np.concatenate([h for _, h in windows])) if windows else np.zeros(0, np.uint64)
+    make, find = _indexer(terms, SEGMENT), _finder(windows, slop)
+    return map_arrow(_texts(docs, id_col, text_col), lambda batches: find(make(batches)), _FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP, block: int = BLOCK) -> DataFrame:
@@ -161,8 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         windows = windows_of(sorted((r["item"], r["text"]) for r in mine.toLocalIterator() if r["item"] is not None), window)
-        terms = np.unique(np.concatenate([h for _, h in windows])) if windows else np.zeros(0, np.uint64)
-        found = search(build_index(rows, terms, id_col=id_col if blocks == 1 else "__row", text_col=text_col), windows, slop=slop)
+        found = search_once(rows, windows, id_col=id_col if blocks == 1 else "__row", text_col=text_col, slop=slop)
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
         out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
