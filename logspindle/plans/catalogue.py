@@ -24,6 +24,7 @@ def query(sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            _columns()
             return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         _QUERIES[f.__name__] = run
@@ -50,11 +51,7 @@ def _big(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
 
-ID, USER, KIND, TS = F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("ts")
-_IP = _s("10.", USER % 5, ".", F.floor(ID / 256) % 256, ".", ID % 256)
 _IP_SQL = "'10.' || (user_id % 5) || '.' || ((event_id // 256) % 256) || '.' || (event_id % 256)"
-_STAMP = F.date_format(TS, "MMM d HH:mm:ss")
-_ISO = F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 _ISO_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
 
 
@@ -121,12 +118,6 @@ def dns_top_names(t):
 
 
 _MAC = "aa:bb:cc:dd:ee:ff"
-_CEF = _s("CEF:0|Acme|FW|1.0|SIG", ID % 7, "|Rule \\| ", KIND, "|", ID % 10, "|src=", _IP, " spt=", ID % 65536, " msg=user ", USER, " did ", KIND, " act=ok")
-_LEEF = F.when(ID % 2 == 0, _s("LEEF:1.0|Acme|IDS|2.1|", KIND, "|src=", _IP, "\tusrName=u", USER)).otherwise(_s("LEEF:2.0|Acme|IDS|2.1|", KIND, "|^|src=", _IP, "^usrName=u", USER))
-_AUDIT = _s("type=SYSCALL msg=audit(1700000000.", ID % 1000, ":", ID, '): arch=c000003e syscall=', ID % 300, ' comm="', KIND, '" uid=', USER)
-_DHCP = F.when(ID % 3 == 0, _s("DHCPACK on ", _IP, f" to {_MAC} (h", USER, ") via eth0")).when(ID % 3 == 1, _s("DHCPREQUEST for ", _IP, f" from {_MAC} via eth1")).otherwise(F.lit(f"DHCPDISCOVER from {_MAC}"))
-_RADIUS = F.when(ID % 2 == 0, _s("Login OK: [u", USER, "] (from client vpn port ", ID % 100, " cli ", _IP, ")")).otherwise(_s("Login incorrect (PAP): [u", USER, "] (from client vpn port ", ID % 100, ")"))
-_WEB = _s(_IP, " - ", F.when(USER % 2 == 0, _s("u", USER)).otherwise("-"), ' [15/Jan/2024:10:31:00 +0000] "GET /', KIND, ' HTTP/1.1" ', F.when(ID % 10 == 0, 404).otherwise(200), " ", ID, ' "-" "curl/8"')
 
 
 @query("""SELECT CASE event_id % 8 WHEN 0 THEN 'cef' WHEN 1 THEN 'leef' WHEN 2 THEN 'auditd' WHEN 3 THEN 'dhcp' WHEN 4 THEN 'radius' WHEN 5 THEN 'web_access' WHEN 6 THEN 'dns' ELSE 'none' END AS payload_type, count(*) AS n FROM events GROUP BY 1""")
@@ -246,7 +237,6 @@ def _bodies(events: DataFrame, poison: bool, line: Column) -> DataFrame:
     return events.groupBy(F.floor(ID / 5).alias("body_id")).agg(F.encode(joined, "UTF-8").alias("body")).withColumn("default_sourcetype", F.lit("web"))
 
 
-_HEC = _s('{"event":{"id":', ID, ',"kind":"', KIND, '"},', F.when(ID % 3 == 0, "").otherwise(_s('"sourcetype":"', KIND, '",')), '"host":"h', USER, '","time":', F.lit(1700000000) + ID, ".5}")
 
 
 @query("""SELECT CASE WHEN event_id % 3 = 0 THEN 'web' ELSE event_type END AS sourcetype, 'h' || user_id AS host, make_timestamp((1700000000 + event_id) * 1000000 + 500000) AS time, event_id::VARCHAR AS field_id, event_type AS field_kind FROM events""")
@@ -284,8 +274,6 @@ def _h(c, size: int) -> Column:
     return F.lpad(F.hex(c if isinstance(c, Column) else F.lit(c)), 2 * size, "0")
 
 
-_SRC = F.concat(F.lit("0A"), _h(USER % 5, 1), _h(F.floor(ID / 256) % 256, 1), _h(ID % 256, 1))
-_DST = F.concat(F.lit("C00002"), _h(ID % 256, 1))
 _DST_SQL = "'192.0.2.' || (event_id % 256)"
 
 
@@ -299,7 +287,6 @@ def netflow_v5_decode(t):
 
 
 _FIELDS = "00080004000C000400070002000B0002000400010001000800020008"
-_RECORD = F.concat(_SRC, _DST, _h(ID % 65536, 2), _h(80, 2), _h(17, 1), _h(ID * 10, 8), _h(USER, 8))
 
 
 def _ipfix(events: DataFrame) -> DataFrame:
@@ -460,3 +447,21 @@ def config_diff(t):
 @query("""SELECT count(*) AS n_events, count(DISTINCT event_type) AS n_types, count(DISTINCT user_id) AS n_users FROM events""")
 def ingest_totals(t):
     return t("events").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_type").alias("n_types"), F.countDistinct("user_id").alias("n_users"))
+
+def _columns() -> None:
+    """The columns that the queries render records from; made when a query runs, as they need a session."""
+    global ID, USER, KIND, TS, _IP, _STAMP, _ISO, _CEF, _LEEF, _AUDIT, _DHCP, _RADIUS, _WEB, _HEC, _SRC, _DST, _RECORD
+    ID, USER, KIND, TS = F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("ts")
+    _IP = _s("10.", USER % 5, ".", F.floor(ID / 256) % 256, ".", ID % 256)
+    _STAMP = F.date_format(TS, "MMM d HH:mm:ss")
+    _ISO = F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    _CEF = _s("CEF:0|Acme|FW|1.0|SIG", ID % 7, "|Rule \\| ", KIND, "|", ID % 10, "|src=", _IP, " spt=", ID % 65536, " msg=user ", USER, " did ", KIND, " act=ok")
+    _LEEF = F.when(ID % 2 == 0, _s("LEEF:1.0|Acme|IDS|2.1|", KIND, "|src=", _IP, "\tusrName=u", USER)).otherwise(_s("LEEF:2.0|Acme|IDS|2.1|", KIND, "|^|src=", _IP, "^usrName=u", USER))
+    _AUDIT = _s("type=SYSCALL msg=audit(1700000000.", ID % 1000, ":", ID, '): arch=c000003e syscall=', ID % 300, ' comm="', KIND, '" uid=', USER)
+    _DHCP = F.when(ID % 3 == 0, _s("DHCPACK on ", _IP, f" to {_MAC} (h", USER, ") via eth0")).when(ID % 3 == 1, _s("DHCPREQUEST for ", _IP, f" from {_MAC} via eth1")).otherwise(F.lit(f"DHCPDISCOVER from {_MAC}"))
+    _RADIUS = F.when(ID % 2 == 0, _s("Login OK: [u", USER, "] (from client vpn port ", ID % 100, " cli ", _IP, ")")).otherwise(_s("Login incorrect (PAP): [u", USER, "] (from client vpn port ", ID % 100, ")"))
+    _WEB = _s(_IP, " - ", F.when(USER % 2 == 0, _s("u", USER)).otherwise("-"), ' [15/Jan/2024:10:31:00 +0000] "GET /', KIND, ' HTTP/1.1" ', F.when(ID % 10 == 0, 404).otherwise(200), " ", ID, ' "-" "curl/8"')
+    _HEC = _s('{"event":{"id":', ID, ',"kind":"', KIND, '"},', F.when(ID % 3 == 0, "").otherwise(_s('"sourcetype":"', KIND, '",')), '"host":"h', USER, '","time":', F.lit(1700000000) + ID, ".5}")
+    _SRC = F.concat(F.lit("0A"), _h(USER % 5, 1), _h(F.floor(ID / 256) % 256, 1), _h(ID % 256, 1))
+    _DST = F.concat(F.lit("C00002"), _h(ID % 256, 1))
+    _RECORD = F.concat(_SRC, _DST, _h(ID % 65536, 2), _h(80, 2), _h(17, 1), _h(ID * 10, 8), _h(USER, 8))

@@ -13,7 +13,7 @@ _shipped: set[str] = set()
 #: Rows of an Arrow batch at most: texts of some kilobytes make batches of some megabytes, in the JVM and in Python.
 BATCH_ROWS = 1000
 #: Bytes of batches after which a worker hands freed memory back.
-TRIM_BYTES = 32 << 20
+TRIM_BYTES = 128 << 20
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
