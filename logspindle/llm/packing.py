@@ -25,7 +25,7 @@ SENTENCE_CUT, HARD_CUT, SEQUENCE = 4, 32, 16
 #: Tokens of a partition that are planned together.
 CHUNK = 1 << 20
 #: Entries that a task's word cache may hold.
-CACHE = 250_000
+CACHE = 500_000
 #: Parts of more characters aren't kept.
 LONG = 64
 # Letters of Latin-1, then ASCII signs but the apostrophe, which the tokenizer may join to letters.
