@@ -22,8 +22,14 @@ SMALL = 24
 BLOCKS = 56
 #: Shingles that a block has to hold to become a key.
 FULL = 2
-#: Members of a key group that are compared with each other; members of larger groups are compared with leaders.
+#: Members of a key group that are compared with each other at once; larger groups are compared with leaders first.
 GROUP = 24
+#: Shingle counts by hash, in so many places (a megabyte), order the shingles of what leaders haven't joined.
+PLACES = 1 << 20
+#: Members of a shingle's group that one task compares; larger groups are dealt out as pairs of parts.
+PART = 128
+#: 64-bit words of the parity sketch that is compared before sets are.
+SKETCH = 8
 #: So many ids at most (8 MB) are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bytes of text handled at once (a longer document alone).
@@ -161,11 +167,12 @@ def sets(docs: DataFrame) -> DataFrame:
     return _map(docs, "doc_id long, hashes array<long>", lambda ids, row, g, n: pa.RecordBatch.from_arrays([ids, _lists(row, g, len(n))], ["doc_id", "hashes"]))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a < b) of ``reps`` (id, keys) that share a key.
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) of ``reps`` (id, keys) that share a key, and the members (id, key) of large groups.
 
     Members of a key group of up to ``GROUP`` are paired with each other. In a larger one each member is paired with one of the
     group's leaders, its smallest and its largest id, by the key: near copies share dozens of keys and so meet both.
+    What that leaves apart is for ``unjoined`` and ``cross_pairs``.
     """
     rows = reps.select("id", F.explode("keys").alias("key"))
     lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
@@ -177,7 +184,100 @@ def candidates(reps: DataFrame) -> DataFrame:
     pairs = some.select(F.explode(inner).alias("p")).select("p.a", "p.b")
     many = shared.where(F.col("size") > GROUP).select("id", F.when(F.col("key") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("o"))
     many = many.where(F.col("id") != F.col("o")).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
-    return two.unionByName(pairs).unionByName(many).distinct()
+    return two.unionByName(pairs).unionByName(many).distinct(), shared.where(F.col("size") > GROUP).select("id", "key")
+
+
+def unjoined(large: DataFrame, found: DataFrame) -> DataFrame:
+    """id and component of the members of large key groups (``large``: id, key) whose members are not all in one component yet."""
+    named = settle(large.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component")))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
+    return settle(named.join(settle(mixed), "key", "left_semi").select("id", "component").distinct())
+
+
+def _levels(rest: DataFrame) -> np.ndarray:
+    """How common shingles are among ``rest`` (hashes): the logarithm of the count at each of ``PLACES`` places, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(PLACES), minlength=PLACES)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["place", "n"])
+
+    level = np.zeros(PLACES, np.uint8)
+    got = map_arrow(rest.select("hashes"), run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    level[got.column("place").to_numpy()] = np.floor(4 * np.log2(got.column("n").to_numpy() + 1.0)).astype(np.uint8)
+    return level
+
+
+def _prefixes(rest: DataFrame, percent: int) -> DataFrame:
+    """A row for each shingle of each set's prefix: id, component, n, left (the set's shingles from this one on), token, bits.
+
+    Shingles are ordered from rare to common. Two linked sets share a shingle of their prefixes of n - ceil(t n) + 1 in any
+    order that all sets have in common, so places that several shingles fall on cost time, not links.
+    """
+    level = _levels(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = batch.column(2)
+            n = np.diff(sets_.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            g = sets_.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            order = np.lexsort((g, level[g % np.uint64(PLACES)], row))
+            rank = np.arange(len(g)) - (np.cumsum(n) - n)[row]
+            pick = rank < (n - -(-n * percent // 100) + 1)[row]
+            bits = np.zeros((len(n), SKETCH), np.uint64)
+            bit = tv.mix(g + np.uint64(0x77))
+            np.bitwise_xor.at(bits, (row, (bit >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (bit & np.uint64(63)))
+            at = row[pick]
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * SKETCH), len(n), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(n[at].astype(np.int64)), pa.array((n[at] - rank[pick]).astype(np.int64)), pa.array(g[order][pick].view(np.int64)), sketch.take(pa.array(at))],
+                ["id", "component", "n", "left", "token", "bits"],
+            )
+
+    return map_arrow(rest.select("id", "component", "hashes"), run, "id long, component long, n long, left long, token long, bits binary")
+
+
+def cross_pairs(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every pair (a < b) of ``rest`` (id, component, hashes) from two components that may link: none that links is missing.
+
+    Pairs share a shingle of their prefixes, after which enough shingles are left in both sets, and the Hamming distance of their
+    parity sketches is no larger than the symmetric difference of a linked pair.
+    """
+    rows = settle(_prefixes(rest, percent))
+    of = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    of = settle(of.where(F.col("lo") < F.col("hi")).select("token", F.ceil(F.col("size") / PART).cast("long").alias("parts")))
+    dealt = rows.join(of, "token").withColumn("own", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    member = F.struct("id", "component", "n", "left", "own", "bits").alias("m")
+    groups = dealt.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(2)
+            off, flat = m.offsets.to_numpy(), m.flatten()
+            ids, comp, n, left, own = (flat.field(k).to_numpy() for k in range(5))
+            bits = np.frombuffer(b"".join(flat.field(5).to_pylist()), np.uint64).reshape(-1, SKETCH)
+            off = off - off[0]
+            alike = (batch.column(0).to_numpy() == batch.column(1).to_numpy()).tolist()
+            found = []
+            for lo, hi, one in zip(off[:-1].tolist(), off[1:].tolist(), alike, strict=True):
+                c, o, k = comp[lo:hi], own[lo:hi], left[lo:hi]
+                may = c[:, None] != c[None, :]
+                if not one:
+                    may &= o[:, None] != o[None, :]
+                x, y = np.nonzero(np.triu(may, 1))
+                both, total = np.minimum(k[x], k[y]), n[lo:hi][x] + n[lo:hi][y]
+                fit = both * (100 + percent) >= total * percent
+                x, y, total = x[fit] + lo, y[fit] + lo, total[fit]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                near = apart * (100 + percent) <= total * (100 - percent)
+                found.append(np.stack([ids[x[near]], ids[y[near]]]))
+            got = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(got.min(0)), pa.array(got.max(0))], ["a", "b"])
+
+    return map_arrow(groups.select("i", "j", "m"), run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, hashed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -224,7 +324,8 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     base = settle(sketches(rows, percent))
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    pairs = settle(candidates(reps.select("id", "keys")))
+    pairs, large = candidates(reps.select("id", "keys"))
+    pairs = settle(pairs)
     ids = settle(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -236,7 +337,14 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     comp = lambda x: joined.select(F.col("id").alias(x), F.col("component").alias("c" + x))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = verify(apart, hashed, percent)
-    found = components(edges.unionByName(more))
+    edges = settle(edges.unionByName(more))
+    found = components(edges)
+    # what large groups may still hide: all pairs of their members from different components that can link
+    rest = unjoined(large, found)
+    if not rest.isEmpty():
+        last = settle(verify(settle(cross_pairs(rest.join(hashed, "id"), percent)), hashed, percent))
+        if not last.isEmpty():
+            found = components(edges.unionByName(last))
     names = settle(reps.select("h1", "h2", "id").join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id")))
     out = base.drop("keys").join(names, ["h1", "h2"], "left")
     lone = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

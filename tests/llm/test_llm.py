@@ -220,6 +220,47 @@ def test_jaccard_join_is_whole(spark):
     assert jaccard.link(empty(spark)).count() == 0
 
 
+def test_jaccard_join_beyond_leaders(spark, monkeypatch):
+    """Chains of which few texts link with a group's leaders, and one passage in texts that don't link."""
+    rng = random.Random(11)
+    texts = []
+    for n in (60, 120, 120):
+        now = prose(rng, n).split()
+        for _ in range(45):
+            now = list(now)
+            for _ in range(n // 60):
+                now[rng.randrange(n)] = rng.choice(WORDS)
+            texts.append(" ".join(now))
+    shared = prose(rng, 90)
+    texts += [f"{prose(rng, 30)} {shared} {prose(rng, 30)}" for _ in range(60)]
+    rng.shuffle(texts)
+    monkeypatch.setattr(jaccard, "GROUP", 2)  # so that leaders are all that larger groups meet at first
+    monkeypatch.setattr(jaccard, "PART", 5)
+    rows = jaccard.link(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
+
+
+def test_cross_pairs_miss_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 7)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(-(1 << 62), 1 << 62, 60)
+    sets_ = []
+    for size in (1, 2, 4, 30, 30, 55):
+        for _ in range(25):
+            sets_.append({*rng.choice(pool[: size + 4], size, replace=False).tolist()})
+    order = [sorted(s, key=lambda v: v % (1 << 64)) for s in sets_]
+    comp = rng.integers(0, 20, len(sets_)).tolist()
+    rest = spark.createDataFrame(list(zip(range(len(sets_)), comp, order, strict=True)), "id long, component long, hashes array<long>").repartition(5)
+    got = {(r.a, r.b) for r in jaccard.cross_pairs(rest).collect()}
+    for i, a in enumerate(sets_):
+        for j in range(i + 1, len(sets_)):
+            b = sets_[j]
+            if comp[i] == comp[j]:
+                assert (i, j) not in got
+            elif 100 * len(a & b) >= 75 * len(a | b):
+                assert (i, j) in got
+
+
 def test_sketch_blocks_are_a_pigeonhole():
     """At least one block of the sketch of linked sets is equal, for all sizes."""
     rng = np.random.default_rng(5)
