@@ -246,23 +246,43 @@ def cross_pairs(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
     Pairs share a shingle of their prefixes, after which enough shingles are left in both sets, and the Hamming distance of their
     parity sketches is no larger than the symmetric difference of a linked pair.
     """
-    rows = settle(_prefixes(rest, percent))
-    of = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    of = settle(of.where(F.col("lo") < F.col("hi")).select("token", F.ceil(F.col("size") / PART).cast("long").alias("parts")))
-    dealt = rows.join(of, "token").withColumn("own", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = settle(_prefixes(rest, percent).withColumn("reach", F.floor(F.col("left") * (100 + percent) / percent).cast("long") - F.col("n")))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        of = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far"))
+        return settle(of.where(F.col("lo") < F.col("hi")))
+
+    # a set whose partners would all be smaller than the token's smallest set, or out of the others' reach, has none by this token
+    fit = rows.join(mixed(rows), "token").where((F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("far")))
+    fit = settle(fit.select(*rows.columns))
+    # members of a token's largest component aren't compared with each other: each lies in one part, and the others come to it
+    sizes = fit.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
+    parts = lambda n: F.ceil(n / PART).cast("long")
+    of = settle(sizes.where("components > 1").select("token", "size", F.col("top.component").alias("top"), parts(F.col("top.n")).alias("tops"), parts(F.col("size") - F.col("top.n")).alias("others")))
+    in_top = F.col("component") == F.col("top")
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    zero, own = F.lit(0).cast("long"), F.col("own")
+    cells = (
+        F.when(F.col("size") <= PART, F.array(cell(0, zero, zero)))
+        .when(in_top, upto("others", lambda x: cell(1, x, own)))
+        .otherwise(F.concat(upto("others", lambda x: cell(0, F.least(own, x), F.greatest(own, x))), upto("tops", lambda x: cell(1, own, x))))
+    )
+    dealt = fit.join(of, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.when(in_top, F.col("tops")).otherwise(F.col("others"))))
+    dealt = dealt.withColumn("cell", F.explode(cells)).withColumn("own", F.when(in_top, F.lit(-1).cast("long")).otherwise(own))
     member = F.struct("id", "component", "n", "left", "own", "bits").alias("m")
-    groups = dealt.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("m"))
+    groups = dealt.groupBy("token", "cell").agg(F.collect_list(member).alias("m")).select(((F.col("cell.kind") == 0) & (F.col("cell.i") == F.col("cell.j"))).alias("alike"), "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch.column(2)
+            m = batch.column(1)
             off, flat = m.offsets.to_numpy(), m.flatten()
             ids, comp, n, left, own = (flat.field(k).to_numpy() for k in range(5))
             bits = np.frombuffer(b"".join(flat.field(5).to_pylist()), np.uint64).reshape(-1, SKETCH)
             off = off - off[0]
-            alike = (batch.column(0).to_numpy() == batch.column(1).to_numpy()).tolist()
             found = []
-            for lo, hi, one in zip(off[:-1].tolist(), off[1:].tolist(), alike, strict=True):
+            for lo, hi, one in zip(off[:-1].tolist(), off[1:].tolist(), batch.column(0).to_pylist(), strict=True):
                 c, o, k = comp[lo:hi], own[lo:hi], left[lo:hi]
                 may = c[:, None] != c[None, :]
                 if not one:
@@ -277,7 +297,7 @@ def cross_pairs(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
             got = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(got.min(0)), pa.array(got.max(0))], ["a", "b"])
 
-    return map_arrow(groups.select("i", "j", "m"), run, "a long, b long").distinct()
+    return map_arrow(groups, run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, hashed: DataFrame, percent: int = PERCENT) -> DataFrame:
