@@ -168,7 +168,7 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of ``reps`` (id, keys) that share a key, and the members (id, key) of large groups.
+    """Pairs (a < b) of ``reps`` (id, keys) that share a key, and who was compared with which leader (id, leader).
 
     Members of a key group of up to ``GROUP`` are paired with each other. In a larger one each member is paired with one of the
     group's leaders, its smallest and its largest id, by the key: near copies share dozens of keys and so meet both.
@@ -182,16 +182,17 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = shared.where(F.col("size") <= GROUP).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
     inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, GROUP), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = some.select(F.explode(inner).alias("p")).select("p.a", "p.b")
-    many = shared.where(F.col("size") > GROUP).select("id", F.when(F.col("key") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("o"))
-    many = many.where(F.col("id") != F.col("o")).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
-    return two.unionByName(pairs).unionByName(many).distinct(), shared.where(F.col("size") > GROUP).select("id", "key")
+    led = shared.where(F.col("size") > GROUP).select("id", F.when(F.col("key") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("leader"))
+    led = settle(led.distinct())
+    many = led.where(F.col("id") != F.col("leader")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    return two.unionByName(pairs).unionByName(many).distinct(), led
 
 
-def unjoined(large: DataFrame, found: DataFrame) -> DataFrame:
-    """id and component of the members of large key groups (``large``: id, key) whose members are not all in one component yet."""
-    named = settle(large.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component")))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    return settle(named.join(settle(mixed), "key", "left_semi").select("id", "component").distinct())
+def unjoined(led: DataFrame, found: DataFrame) -> DataFrame:
+    """id and component of those compared with a leader (``led``: id, leader) whose ids are not all in one component yet."""
+    named = settle(led.join(found, "id", "left").select("id", "leader", F.coalesce("component", "id").alias("component")))
+    mixed = named.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("leader")
+    return settle(named.join(settle(mixed), "leader", "left_semi").select("id", "component").distinct())
 
 
 def _levels(rest: DataFrame) -> np.ndarray:
@@ -337,14 +338,14 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     space; the whole sequence where there are fewer words; empty for null, empty and blank texts, which link with
     nothing. Two rows link when their sets' Jaccard similarity is at least ``percent`` / 100. component_id is the smallest doc_id
     that links lead to, the row's own included. Equal sets are collapsed first; candidates from the keys are verified
-    on the sets; so copies cost a row each, and large groups of near copies are compared with leaders, not pairwise.
+    on the sets; so copies cost a row each, and large groups of near copies are compared with leaders, and only across the components that this leaves.
     Rows that repeat an id are rows of their own with equal component; a null id gets a null component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = settle(sketches(rows, percent))
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    pairs, large = candidates(reps.select("id", "keys"))
+    pairs, led = candidates(reps.select("id", "keys"))
     pairs = settle(pairs)
     ids = settle(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id"))
     if ids.count() <= BROADCAST_IDS:
@@ -360,7 +361,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     edges = settle(edges.unionByName(more))
     found = components(edges)
     # what large groups may still hide: all pairs of their members from different components that can link
-    rest = unjoined(large, found)
+    rest = unjoined(led, found)
     if not rest.isEmpty():
         last = settle(verify(settle(cross_pairs(rest.join(hashed, "id"), percent)), hashed, percent))
         if not last.isEmpty():
