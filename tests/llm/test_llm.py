@@ -159,6 +159,22 @@ def test_language(spark):
     assert langid.train(empty(spark)) == {} and langid.identify(empty(spark), judge).count() == 0
 
 
+def test_language_rejects_what_it_has_not_learned():
+    rng = random.Random(4)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
+    kinds = {"xx": ["tho", "ing", "er", "wha", "ly"], "yy": ["schu", "keit", "ein", "ver", "ung"], "zz": ["cion", "que", "mos", "ado", "lla"]}
+    judge = langid.Classifier({k: langid.normal(make(p, 4000)).encode() for k, p in kinds.items()})
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 200, 1000) for _ in range(40)]
+    assert sum(not judge(t)[2] for t in junk) <= 2
+    # Four words are known to "xx" among many that none knows; another language, spelled with other syllables.
+    other = ["cki", "owa", "prz", "nie", "sta", "zyk"]
+    known = [w.decode() for w in sorted(judge.words[0] - judge.words[1] - judge.words[2])[:4]]
+    assert all(judge(make(other, n) + " " + " ".join(known))[2] for n in (200, 1000, 5000))
+    # Learned languages stay, of a few words and of many pieces.
+    for k, p in kinds.items():
+        assert [judge(make(p, n))[::2] for n in (5, 30, 300, 60000)] == [(k, False)] * 4
+
+
 # --- 5: hosts
 
 
