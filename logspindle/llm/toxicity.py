@@ -195,16 +195,19 @@ def learn(texts: list[tuple[str, int]]) -> Lexicon:
             for k in STEMS:
                 word[text[:k]] = max(word.get(text[:k], 0), n)
     chosen: dict[tuple[str, bool], int] = {}
+    under: dict[tuple[str, bool], tuple[str, bool]] = {}  # words beside the stem that they begin with, for their misspelled forms
     for f in sorted(good, key=lambda f: (not f[1], len(f[0]), f[0])):  # stems first, the shortest first
         text, stem = f
-        if any((text[:k], True) in chosen for k in STEMS if k <= len(text)):
+        if over := next(((text[:k], True) for k in STEMS if k <= len(text) and (text[:k], True) in chosen), None):
+            if not stem and len(text) >= FUZZY_FROM:
+                under[f] = over
             continue
         if stem and word.get(text, 0) >= 0.8 * good[f]:
             continue  # one word makes it
         chosen[f] = good[f]
     # a term's weight is its share of toxic texts where it is the only evidence; where that is scarce, its share of all that have it
     # stands in, with clean ones counted OFTEN times since toxic texts have several terms
-    match = Matcher(chosen)
+    match = Matcher({**chosen, **under})
     alone: dict[tuple, list[int]] = {}
     bare = [0, 0]
     for words, toxic in rows:
@@ -212,7 +215,8 @@ def learn(texts: list[tuple[str, int]]) -> Lexicon:
         fuzzy: dict[str, tuple] = {}
         for w in words:
             for term, wrong in match(w):
-                (fuzzy if wrong else exact)[w] = term
+                if wrong or term not in under:  # exact forms are the stem's
+                    (fuzzy if wrong else exact)[w] = term
         if not exact and not fuzzy:
             bare[toxic] += 1
         for term in set((exact if len(exact) == 1 else {} if exact else fuzzy).values()):
@@ -223,7 +227,7 @@ def learn(texts: list[tuple[str, int]]) -> Lexicon:
         share = good[term] / (good[term] + OFTEN * counts[0][term] + MIN_DOCS)
         return (toxic + PRIOR_DOCS * (PRIOR_FUZZY if wrong else share)) / (toxic + clean + PRIOR_DOCS)
 
-    return Lexicon({t: (weight(t, False), weight(t, True)) for t in chosen}, bare[1] / max(1, sum(bare)))
+    return Lexicon({t: (weight(under.get(t, t), False), weight(t, True)) for t in (*chosen, *under)}, bare[1] / max(1, sum(bare)))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS) -> Lexicon:

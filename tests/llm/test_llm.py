@@ -121,6 +121,19 @@ def test_toxicity(spark):
     assert toxicity.rate(empty(spark), lexicon).count() == 0 and toxicity.learn([]).terms == {}
 
 
+def test_words_under_a_stem_keep_their_edit():
+    rng = random.Random(5)
+    rows = [(prose(rng, 30) + " " + rng.choice(["moronic", "moronism", "moronity"]) * t, t) for t in [0, 0, 1] * 60]
+    lexicon = toxicity.learn(rows)
+    match = toxicity.Matcher(lexicon.terms)
+    stems = [t for t, stem in lexicon.terms if stem]
+    assert stems and all(any(w.startswith(t) for t in stems) for w in ("moronic", "moronism", "moronity"))
+    for word in ("mronic", "mxronism", "omronity"):
+        assert any(wrong for _, wrong in match(word)) and toxicity.score(word, lexicon, match)[0] > lexicon.base
+    exact = {lexicon.terms[t][0] for t, wrong in match("moronic") if not wrong}
+    assert len(exact) == 1 and not match("w12")
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
