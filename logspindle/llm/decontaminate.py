@@ -168,7 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     A document's words are hit where they lie inside an exact occurrence of a window of ``window`` consecutive words of
     an item (an item of fewer words is one window). Null and empty texts have no words; items without words match
-    nothing; rows that repeat an id get a row each; a null id stays; an empty benchmark hits nothing. The items are sent
+    nothing; an item with a null id counts in n_hit and contaminated but is in no list of ids; rows that repeat an id get a row each; a null id stays; an empty benchmark hits nothing. The items are sent
     to the executors in blocks of at most ``block`` bytes of text, however many there are.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
@@ -178,7 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     out = None
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        windows = windows_of(sorted((r["item"], r["text"]) for r in mine.toLocalIterator() if r["item"] is not None), window)
+        windows = windows_of(sorted(((r["item"], r["text"]) for r in mine.toLocalIterator()), key=lambda x: (x[0] or "", x[1])), window)
         found = search_once(rows, windows, id_col=id_col if blocks == 1 else "__row", text_col=text_col, slop=slop)
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
@@ -188,7 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     exact = F.filter("matches", lambda m: m["kind"] == "phrase")
     near = F.filter("matches", lambda m: m["kind"] == "proximity")
     hit = F.array_distinct(F.flatten(F.transform(exact, lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1))))
-    of = lambda m: F.array_sort(F.array_distinct(F.transform(m, lambda x: x["item_id"])))
+    of = lambda m: F.array_sort(F.array_distinct(F.array_compact(F.transform(m, lambda x: x["item_id"]))))
     out = out.select("doc_id", "n_words", "matches", F.size(hit).cast("long").alias("n_hit"), of(exact).alias("items"), of(near).alias("near_items"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 

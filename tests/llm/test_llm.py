@@ -103,6 +103,15 @@ def test_proximity(spark):
     assert [(r.contaminated, list(r.near_items)) for r in rows] == [(True, []), (False, ["i"]), (False, [])]
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_items_without_an_id_are_searched(spark, block):
+    items = [(None, " ".join(WORDS[:12])), (None, None), ("i", " ".join(WORDS[20:32]))]
+    texts = [" ".join(WORDS[:12]), " ".join(WORDS[:32]), " ".join(WORDS[40:60])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = decontaminate.decontaminate(frame(spark, texts), bench, block=block).orderBy("doc_id").collect()
+    assert [(r.n_hit, list(r["items"]), list(r.near_items), r.contaminated) for r in rows] == [(12, [], [], True), (24, ["i"], [], True), (0, [], [], False)]
+
+
 # --- 3: toxicity
 
 
