@@ -589,3 +589,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[0] == everything and kept[1] == everything and kept[2] == everything - {30, 31} and kept[3] == kept[2] - {32}
     assert {r.doc_id for r in docs.where("text like '%footer%'").collect()} == {0}
     assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == kept[3]
+
+
+def leaks(spark, folder, texts, item):
+    """What the stage leaves of (id, text)."""
+    import corpus_pipeline as cp
+
+    rows = [(i, t, "en", "s", None) for i, t in texts]
+    docs = cp.settle(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return sorted(((r.doc_id, r.text) for r in cp.benchmark_leaks(spark, docs, str(folder)).collect()), key=str)
+
+
+def test_pipeline_drops_items_with_a_word_inserted(spark, tmp_path):
+    rng = random.Random(11)
+    words = WORDS[:14]
+    near, far = " ".join([*words[:7], "new", *words[7:]]), " ".join([*words[:7], *"abcdefg", *words[7:]])
+    texts = [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for i, t in enumerate([" ".join(words), near, far, ""])]
+    assert [i for i, _ in leaks(spark, tmp_path, texts, " ".join(words))] == [2, 3]
