@@ -163,6 +163,45 @@ def search_once(docs: DataFrame, windows: list[tuple[str, np.ndarray]], *, id_co
     return map_arrow(_texts(docs, id_col, text_col), lambda batches: find(make(batches)), _FOUND)
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, block: int) -> tuple[DataFrame, int]:
+    """The items that have text, and the number of blocks that they are searched in."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, max(1, -(-size // block))
+
+
+def _block(items: DataFrame, blocks: int, b: int, window: int) -> list[tuple[str, np.ndarray]]:
+    mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+    return windows_of(sorted(((r["item"], r["text"]) for r in mine.toLocalIterator()), key=lambda x: (x[0] or "", x[1])), window)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, but those in which ``decontaminate`` finds a match, exact or near.
+
+    Each row is decided by its own text, whatever its id.
+    """
+    items, blocks = _items(benchmark, item_col, item_text_col, block)
+    at = docs.columns.index(text_col)
+    for b in range(blocks):
+        docs = map_arrow(docs, _filter(_block(items, blocks, b, window), slop, at), docs.schema)
+    return docs
+
+
+def _filter(windows: list[tuple[str, np.ndarray]], slop: int | None, at: int):
+    terms = np.unique(np.concatenate([h for _, h in windows])) if windows else np.zeros(0, np.uint64)
+    make, find = _indexer(terms, SEGMENT), _finder(windows, slop)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
+            clean = np.ones(batch.num_rows, bool)
+            for found in find(make(iter([rows]))):
+                clean[found.column(0).to_numpy()] = found.column(2).value_lengths().to_numpy() == 0
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, items (array of item ids with an exact window), near_items, contaminated for each document.
 
@@ -171,14 +210,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     nothing; an item with a null id counts in n_hit and contaminated but is in no list of ids; rows that repeat an id get a row each; a null id stays; an empty benchmark hits nothing. The items are sent
     to the executors in blocks of at most ``block`` bytes of text, however many there are.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block))
+    items, blocks = _items(benchmark, item_col, item_text_col, block)
     rows = docs if blocks == 1 else docs.withColumn("__row", F.monotonically_increasing_id())
     out = None
     for b in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        windows = windows_of(sorted(((r["item"], r["text"]) for r in mine.toLocalIterator()), key=lambda x: (x[0] or "", x[1])), window)
+        windows = _block(items, blocks, b, window)
         found = search_once(rows, windows, id_col=id_col if blocks == 1 else "__row", text_col=text_col, slop=slop)
         out = found if out is None else out.unionByName(found)
     if blocks > 1:

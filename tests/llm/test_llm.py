@@ -607,3 +607,15 @@ def test_pipeline_drops_items_with_a_word_inserted(spark, tmp_path):
     near, far = " ".join([*words[:7], "new", *words[7:]]), " ".join([*words[:7], *"abcdefg", *words[7:]])
     texts = [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for i, t in enumerate([" ".join(words), near, far, ""])]
     assert [i for i, _ in leaks(spark, tmp_path, texts, " ".join(words))] == [2, 3]
+
+
+def test_pipeline_drops_leaks_by_row(spark, tmp_path):
+    rng = random.Random(12)
+    item, clean = prose(rng, 20), prose(rng, 40)
+    texts = [(None, item), (None, clean), (1, item + " x"), (1, clean), (2, None), (3, "")]
+    assert leaks(spark, tmp_path, texts, item) == sorted([(None, clean), (1, clean), (2, None), (3, "")], key=str)
+    docs = spark.createDataFrame(texts * 40, "doc_id long, text string")
+    bench = spark.createDataFrame([(str(i), prose(rng, 15)) for i in range(6)] + [(None, item)], "item_id string, text string")
+    for block in (1 << 20, 200):
+        found = decontaminate.decontaminate(docs, bench, block=block).where(F.size("matches") == 0).count()
+        assert decontaminate.keep_clean(docs, bench, block=block).count() == found == 160
