@@ -530,7 +530,7 @@ def test_pii(spark):
 def test_packing(spark):
     rng = random.Random(8)
     texts = [prose(rng, rng.randrange(1, 900)) + "." for _ in range(40)] + [None, "", "a" * 30_000, "Don't! É 12 " * 50]
-    rows = packing.pack(frame(spark, texts).repartition(3), with_ids=True, chunk=5000).collect()
+    rows = packing.pack(frame(spark, texts).repartition(3), with_ids=True, run_bytes=9000).collect()
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
