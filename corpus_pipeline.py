@@ -25,11 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones, and rows that repeat an id once."""
-    rest = jaccard.link(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = docs.select(*COLUMNS).join(rest, "doc_id", "left_anti")
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    """The row with the smallest id of each group of linked ones, and those that link with none."""
+    return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

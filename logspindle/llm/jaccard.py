@@ -24,14 +24,16 @@ BLOCKS = 56
 FULL = 2
 #: Members of a key group that are compared with each other at once; larger groups are compared with leaders first.
 GROUP = 24
-#: Shingle counts by hash, in so many places (a megabyte), order the shingles of what leaders haven't joined.
-PLACES = 1 << 20
+#: Shingle counts by hash, in so many places (a megabyte of levels), order the shingles of prefixes; written in slices.
+PLACES, SLICE = 1 << 20, 1 << 14
 #: Members of a shingle's group that one task compares; larger groups are dealt out as pairs of parts.
 PART = 128
 #: 64-bit words of the parity sketch that is compared before sets are.
 SKETCH = 8
-#: So many ids at most (8 MB) are broadcast to pick the texts to verify; more are joined by a shuffle.
-BROADCAST_IDS = 1 << 20
+#: So many rows at most are broadcast; more are joined by a shuffle.
+BROADCAST = 1 << 20
+#: Keys of more rows than this, and than a 2**20th of all rows, are joined by broadcast: at most 2**20 keys.
+HOT = 64
 #: Bytes of text handled at once (a longer document alone).
 RUN = 2 << 20
 
@@ -85,8 +87,8 @@ def _keys(row: np.ndarray, g: np.ndarray, n: np.ndarray, percent: int) -> tuple[
     a set has sketches for its own band and the one below, as the smaller set of a pair may lie there.
 
     Blocks of few shingles say little and are left out, and of sketches with many blocks, ``BLOCKS`` suffice: equal
-    blocks are then found with a chance beyond 1 - 1e-7 even for pairs at the threshold itself; sketches of fewer blocks are drawn
-    repeatedly up to that number. For small sets, where d + 1 is small, that doesn't hold; they get keys of single
+    blocks are then found with a chance beyond 1 - 1e-7 even for pairs at the threshold itself (``link`` looks for the others
+    afterwards); sketches of fewer blocks are drawn repeatedly up to that number. For small sets, where d + 1 is small, that doesn't hold; they get keys of single
     shingles instead: of the least hashes, so many that two linked sets must share one.
     """
     edge = bands(percent)
@@ -136,8 +138,8 @@ def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[order].view(np.int64)))
 
 
-def _map(docs: DataFrame, schema: str, of) -> DataFrame:
-    """Rows of (doc_id, text) through ``of(ids, row, hashes, sizes)``, a run of documents at a time."""
+def _map(docs: DataFrame, schema: str, of, last=None) -> DataFrame:
+    """Rows of (doc_id, text) through ``of(ids, row, hashes, sizes)``, a run of documents at a time; then what ``last()`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,117 +147,136 @@ def _map(docs: DataFrame, schema: str, of) -> DataFrame:
             for lo, hi in tv.runs(off, RUN):
                 row, g = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield of(batch.column(0).slice(lo, hi - lo), row, g, np.bincount(row, minlength=hi - lo))
+        if last:
+            yield last()
 
     return map_arrow(docs, run, schema)
 
 
+def _fingerprint(row: np.ndarray, g: np.ndarray, rows: int) -> list[pa.Array]:
+    """128 bits for each set, in two columns."""
+    sums = [np.zeros(rows, np.uint64) for _ in range(2)]
+    for i in range(2):
+        np.add.at(sums[i], row, tv.mix(g + np.uint64(i * 7919 + 11)))
+    return [pa.array(s.view(np.int64)) for s in sums]
+
+
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (h1, h2) and the set's keys."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the set (h1, h2) and the set's keys.
+
+    Rows with n_shingles -1 hold counts instead: of the partition's shingles by place, in ``keys``, for the slice h1.
+    """
+    names = ["doc_id", "n_shingles", "h1", "h2", "keys"]
+    counts = np.zeros(PLACES, np.int64)
 
     def of(ids, row, g, n):
-        sums = [np.zeros(len(n), np.uint64) for _ in range(2)]
-        for i in range(2):
-            np.add.at(sums[i], row, tv.mix(g + np.uint64(i * 7919 + 11)))
+        counts[:] += np.bincount(g & np.uint64(PLACES - 1), minlength=PLACES)
         own, keys = _keys(row, g, n, percent)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(own, keys, len(n))], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *_fingerprint(row, g, len(n)), _lists(own, keys, len(n))], names)
+
+    def last():
+        slices = counts.reshape(-1, SLICE)
+        used = np.flatnonzero(slices.any(1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * SLICE, pa.int32()), pa.array(slices[used].ravel()))
+        counts[:] = 0
+        return pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(np.full(len(used), -1)), pa.array(used), pa.array(np.zeros(len(used), np.int64)), lists], names)
 
-    return _map(docs, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>", of)
+    return _map(docs, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>", of, last)
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the set's hashes, ascending."""
-    return _map(docs, "doc_id long, hashes array<long>", lambda ids, row, g, n: pa.RecordBatch.from_arrays([ids, _lists(row, g, len(n))], ["doc_id", "hashes"]))
+    """h1, h2 and the set's hashes, ascending."""
+    return _map(docs, "h1 long, h2 long, hashes array<long>", lambda ids, row, g, n: pa.RecordBatch.from_arrays([*_fingerprint(row, g, len(n)), _lists(row, g, len(n))], ["h1", "h2", "hashes"]))
+
+
+def _join_hot(rows: DataFrame, stats: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with ``stats`` (a row for each ``key``, with the number of its rows), without all rows of a large key in one task.
+
+    Keys with more than ``HOT`` rows and more than a 2**20th of all rows are joined by broadcast: there can't be more than 2**20.
+    """
+    most = max(HOT, (stats.agg(F.sum(size)).first()[0] or 0) >> 20)
+    hot = F.broadcast(stats.where(F.col(size) > most))
+    cool = rows.join(hot.select(key), key, "left_anti").join(stats.where(F.col(size) <= most), key)
+    return cool.unionByName(rows.join(hot, key))
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of ``reps`` (id, keys) that share a key, and who was compared with which leader (id, leader).
+def candidates(reps: DataFrame) -> DataFrame:
+    """Pairs (a < b) of ``reps`` (id, keys) that share a key.
 
     Members of a key group of up to ``GROUP`` are paired with each other. In a larger one each member is paired with one of the
     group's leaders, its smallest and its largest id, by the key: near copies share dozens of keys and so meet both.
-    What that leaves apart is for ``unjoined`` and ``cross_pairs``.
+    What that leaves apart is for ``cross_pairs``.
     """
     rows = reps.select("id", F.explode("keys").alias("key"))
     lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
-    lead = settle(lead.where(F.col("size") > 1))  # the join below deals both sides anew, so that AQE can split large keys
+    lead = settle(lead.where(F.col("size") > 1))
     two = lead.where(F.col("size") == 2).select(F.col("low").alias("a"), F.col("high").alias("b"))
-    shared = settle(rows.join(lead.where(F.col("size") > 2), "key"))
+    shared = settle(_join_hot(rows, lead.where(F.col("size") > 2), "key", "size"))
     some = shared.where(F.col("size") <= GROUP).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
     inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, GROUP), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = some.select(F.explode(inner).alias("p")).select("p.a", "p.b")
     led = shared.where(F.col("size") > GROUP).select("id", F.when(F.col("key") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("leader"))
-    led = settle(led.distinct())
     many = led.where(F.col("id") != F.col("leader")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    return two.unionByName(pairs).unionByName(many).distinct(), led
+    return two.unionByName(pairs).unionByName(many).distinct()
 
 
-def unjoined(led: DataFrame, found: DataFrame) -> DataFrame:
-    """id and component of those compared with a leader (``led``: id, leader) whose ids are not all in one component yet."""
-    named = settle(led.join(found, "id", "left").select("id", "leader", F.coalesce("component", "id").alias("component")))
-    mixed = named.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("leader")
-    return settle(named.join(settle(mixed), "leader", "left_semi").select("id", "component").distinct())
-
-
-def _levels(rest: DataFrame) -> np.ndarray:
-    """How common shingles are among ``rest`` (hashes): the logarithm of the count at each of ``PLACES`` places, a byte each."""
+def levels(base: DataFrame) -> np.ndarray:
+    """How common shingles are, from the counts in ``base``: the logarithm of the count at each of ``PLACES`` places, a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(PLACES, np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(PLACES), minlength=PLACES)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["place", "n"])
+            for i in range(batch.num_rows):
+                at = batch.column(0)[i].as_py()
+                sums[at] = sums.get(at, 0) + batch.column(1).slice(i, 1).flatten().to_numpy()
+        rows = [np.floor(4 * np.log2(n + 1.0)).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(rows, pa.binary())], ["slice", "level"])
 
-    level = np.zeros(PLACES, np.uint8)
-    got = map_arrow(rest.select("hashes"), run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    level[got.column("place").to_numpy()] = np.floor(4 * np.log2(got.column("n").to_numpy() + 1.0)).astype(np.uint8)
-    return level
+    out = np.zeros((PLACES // SLICE, SLICE), np.uint8)
+    for r in map_arrow(base.where("n_shingles = -1").select("h1", "keys").repartition("h1"), run, "slice long, level binary").collect():  # a megabyte
+        out[r["slice"]] = np.frombuffer(r["level"], np.uint8)
+    return out.ravel()
 
 
-def _prefixes(rest: DataFrame, percent: int) -> DataFrame:
-    """A row for each shingle of each set's prefix: id, component, n, left (the set's shingles from this one on), token, bits.
+def prefix_columns(row: np.ndarray, g: np.ndarray, n: np.ndarray, level: np.ndarray, percent: int) -> list[pa.Array]:
+    """Each set's size, its prefix and its parity sketch.
 
     Shingles are ordered from rare to common. Two linked sets share a shingle of their prefixes of n - ceil(t n) + 1 in any
     order that all sets have in common, so places that several shingles fall on cost time, not links.
     """
-    level = _levels(rest)
+    order = np.lexsort((g, level[g & np.uint64(PLACES - 1)], row))
+    rank = np.arange(len(g)) - (np.cumsum(n) - n)[row]
+    pick = rank < (n - -(-n * percent // 100) + 1)[row]
+    bits = np.zeros((len(n), SKETCH), np.uint64)
+    bit = tv.mix(g + np.uint64(0x77))
+    np.bitwise_xor.at(bits, (row, (bit >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (bit & np.uint64(63)))
+    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * SKETCH), len(n), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+    return [pa.array(n.astype(np.int64)), _lists(row[pick], g[order][pick], len(n)), sketch]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets_ = batch.column(2)
-            n = np.diff(sets_.offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), n)
-            g = sets_.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            order = np.lexsort((g, level[g % np.uint64(PLACES)], row))
-            rank = np.arange(len(g)) - (np.cumsum(n) - n)[row]
-            pick = rank < (n - -(-n * percent // 100) + 1)[row]
-            bits = np.zeros((len(n), SKETCH), np.uint64)
-            bit = tv.mix(g + np.uint64(0x77))
-            np.bitwise_xor.at(bits, (row, (bit >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (bit & np.uint64(63)))
-            at = row[pick]
-            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * SKETCH), len(n), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(n[at].astype(np.int64)), pa.array((n[at] - rank[pick]).astype(np.int64)), pa.array(g[order][pick].view(np.int64)), sketch.take(pa.array(at))],
-                ["id", "component", "n", "left", "token", "bits"],
-            )
-
-    return map_arrow(rest.select("id", "component", "hashes"), run, "id long, component long, n long, left long, token long, bits binary")
-
-
-def cross_pairs(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Every pair (a < b) of ``rest`` (id, component, hashes) from two components that may link: none that links is missing.
+
+def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """h1, h2, n, tokens (the set's prefix, rare shingles first) and bits (its parity sketch)."""
+    of = lambda ids, row, g, n: pa.RecordBatch.from_arrays([*_fingerprint(row, g, len(n)), *prefix_columns(row, g, n, level, percent)], ["h1", "h2", "n", "tokens", "bits"])
+    return _map(docs, "h1 long, h2 long, n long, tokens array<long>, bits binary", of)
+
+
+def cross_pairs(held: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every pair (a < b) of ``held`` (id, component, n, tokens, bits) from two components that may link: none that links is missing.
 
     Pairs share a shingle of their prefixes, after which enough shingles are left in both sets, and the Hamming distance of their
     parity sketches is no larger than the symmetric difference of a linked pair.
     """
-    rows = settle(_prefixes(rest, percent).withColumn("reach", F.floor(F.col("left") * (100 + percent) / percent).cast("long") - F.col("n")))
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        of = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far"))
-        return settle(of.where(F.col("lo") < F.col("hi")))
-
+    left = F.col("n") - F.col("rank")
+    rows = held.select("id", "component", "n", F.posexplode("tokens").alias("rank", "token"))
+    rows = rows.select("id", "component", "n", left.alias("left"), "token", (F.floor(left * (100 + percent) / percent).cast("long") - F.col("n")).alias("reach"))
+    span = [F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    # few rare shingles lie in several components: what they are is broadcast where it is small
+    mixed = settle(rows.groupBy("token").agg(*span).where(F.col("lo") < F.col("hi")).select("token", "size"))
+    few = mixed.count() <= BROADCAST
+    rows = settle((rows.join(F.broadcast(mixed), "token") if few else _join_hot(rows, mixed, "token", "size")).drop("size"))
     # a set whose partners would all be smaller than the token's smallest set, or out of the others' reach, has none by this token
-    fit = rows.join(mixed(rows), "token").where((F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("far")))
-    fit = settle(fit.select(*rows.columns))
+    ends = settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("reach").alias("far")))
+    fit = settle(_join_hot(rows, ends, "token", "size").where((F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("far"))).drop("size", "least", "far"))
     # members of a token's largest component aren't compared with each other: each lies in one part, and the others come to it
     sizes = fit.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
@@ -270,9 +291,9 @@ def cross_pairs(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
         .when(in_top, upto("others", lambda x: cell(1, x, own)))
         .otherwise(F.concat(upto("others", lambda x: cell(0, F.least(own, x), F.greatest(own, x))), upto("tops", lambda x: cell(1, own, x))))
     )
-    dealt = fit.join(of, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.when(in_top, F.col("tops")).otherwise(F.col("others"))))
+    dealt = _join_hot(fit, of, "token", "size").withColumn("own", F.pmod(F.xxhash64("id"), F.when(in_top, F.col("tops")).otherwise(F.col("others"))))
     dealt = dealt.withColumn("cell", F.explode(cells)).withColumn("own", F.when(in_top, F.lit(-1).cast("long")).otherwise(own))
-    member = F.struct("id", "component", "n", "left", "own", "bits").alias("m")
+    member = F.struct("id", "component", "n", "left", "own").alias("m")
     groups = dealt.groupBy("token", "cell").agg(F.collect_list(member).alias("m")).select(((F.col("cell.kind") == 0) & (F.col("cell.i") == F.col("cell.j"))).alias("alike"), "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +301,6 @@ def cross_pairs(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
             m = batch.column(1)
             off, flat = m.offsets.to_numpy(), m.flatten()
             ids, comp, n, left, own = (flat.field(k).to_numpy() for k in range(5))
-            bits = np.frombuffer(b"".join(flat.field(5).to_pylist()), np.uint64).reshape(-1, SKETCH)
             off = off - off[0]
             found = []
             for lo, hi, one in zip(off[:-1].tolist(), off[1:].tolist(), batch.column(0).to_pylist(), strict=True):
@@ -292,13 +312,27 @@ def cross_pairs(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
                 both, total = np.minimum(k[x], k[y]), n[lo:hi][x] + n[lo:hi][y]
                 fit = both * (100 + percent) >= total * percent
                 x, y, total = x[fit] + lo, y[fit] + lo, total[fit]
-                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-                near = apart * (100 + percent) <= total * (100 - percent)
-                found.append(np.stack([ids[x[near]], ids[y[near]]]))
-            got = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got.min(0)), pa.array(got.max(0))], ["a", "b"])
+                small = ids[x] < ids[y]
+                found.append(np.stack([np.where(small, ids[x], ids[y]), np.where(small, ids[y], ids[x]), total]))
+            got = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["a", "b", "total"])
+
+    return near_sketches(map_arrow(groups, run, "a long, b long, total long").distinct(), held, percent)
+
+
+def near_sketches(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, total: their sizes together) whose parity sketches are as near as a linked pair's."""
+    bits = lambda x: held.select(F.col("id").alias(x), F.col("bits").alias("bits_" + x))
 
-    return map_arrow(groups, run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH) for i in (3, 4))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            near = pa.array(apart * (100 + percent) <= batch.column(2).to_numpy() * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+
+    rows = pairs.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "total", "bits_a", "bits_b")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def verify(pairs: DataFrame, hashed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -316,13 +350,14 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"))
+        large = _join_hot(both, low, "u", "size").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("x"), "m"), F.struct(F.col("v").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.m").alias("v"))
         before, now = now, settle(small.where(F.col("u") != F.col("v")).distinct())
         discard(before)
+        discard(low)
         n, s = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if (n, s) == mark:
             break
@@ -331,45 +366,83 @@ def components(edges: DataFrame) -> DataFrame:
     return own.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _texts_of(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``rows`` (doc_id, text) that may hold the sets of ``ids`` (low: a document with the set), and ``ids`` for the joins to come."""
+    if ids.count() <= BROADCAST:
+        ids = F.broadcast(ids)
+    some = rows.join(ids.select(F.col("low").alias("doc_id")).where(F.col("doc_id").isNotNull()), "doc_id", "left_semi")
+    return some.unionByName(rows.where(F.col("doc_id").isNull())), ids
+
+
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
     A set: the distinct 5-word shingles of the lower-cased text (ASCII letters), words being what stands between ASCII white
     space; the whole sequence where there are fewer words; empty for null, empty and blank texts, which link with
     nothing. Two rows link when their sets' Jaccard similarity is at least ``percent`` / 100. component_id is the smallest doc_id
-    that links lead to, the row's own included. Equal sets are collapsed first; candidates from the keys are verified
-    on the sets; so copies cost a row each, and large groups of near copies are compared with leaders, and only across the components that this leaves.
-    Rows that repeat an id are rows of their own with equal component; a null id gets a null component.
+    that links lead to, the row's own included. Rows with one set are one node, known by the set's fingerprint: rows that repeat an id
+    are rows of their own, each linked by its own text, and rows without an id take part (their component_id is null only where no row of the
+    component has an id).
+
+    Candidates from the sketches' blocks are verified on the sets. Blocks that are left out (see ``_keys``) and large
+    key groups may hide links; so a second step looks for all pairs that can link across the components so far, by the rarest shingles of each set: no link is missed.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = settle(sketches(rows, percent))
-    full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    pairs, led = candidates(reps.select("id", "keys"))
-    pairs = settle(pairs)
-    ids = settle(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    hashed = settle(sets(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("id"), "hashes"))
+    own = base.where("n_shingles >= 0").drop("keys")
+    full = base.where("n_shingles > 0")
+    reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"))
+    reps = settle(reps.withColumn("id", F.monotonically_increasing_id()))
+    repeats = not own.groupBy("doc_id").count().where("count > 1").isEmpty()
+    once = lambda df: df.dropDuplicates(["id"]) if repeats else df
+    names = reps.select("id", "low", "h1", "h2")
+
+    def hashed(pairs: DataFrame) -> DataFrame:
+        ids = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(names, "id"))
+        texts, ids = _texts_of(rows, ids)
+        return settle(once(sets(texts).join(ids, ["h1", "h2"]).select("id", "hashes")))
+
+    pairs = settle(candidates(reps.select("id", "keys")))
+    held = hashed(pairs)
     # first each id with its smallest partner, then what that hasn't joined
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    edges = settle(verify(first, hashed, percent))
+    edges = settle(verify(first, held, percent))
     joined = settle(components(edges))
     comp = lambda x: joined.select(F.col("id").alias(x), F.col("component").alias("c" + x))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = verify(apart, hashed, percent)
-    edges = settle(edges.unionByName(more))
-    found = components(edges)
-    # what large groups may still hide: all pairs of their members from different components that can link
-    rest = unjoined(led, found)
-    if not rest.isEmpty():
-        last = settle(verify(settle(cross_pairs(rest.join(hashed, "id"), percent)), hashed, percent))
+    edges = settle(edges.unionByName(verify(apart, held, percent)))
+    found = settle(components(edges))
+    discard(held)
+    # all pairs of sets from different components that can link
+    mine = settle(names.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    texts, mine = _texts_of(rows, mine)
+    sets_ = settle(once(prefixes(texts, levels(base), percent).where("n > 0").join(mine, ["h1", "h2"]).select("id", "component", "n", "tokens", "bits")))
+    more = settle(cross_pairs(sets_, percent))
+    discard(sets_)
+    if not more.isEmpty():
+        last = settle(verify(more, hashed(more), percent))
         if not last.isEmpty():
-            found = components(edges.unionByName(last))
-    names = settle(reps.select("h1", "h2", "id").join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id")))
-    out = base.drop("keys").join(names, ["h1", "h2"], "left")
-    lone = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", lone.alias("component_id"))
+            found = settle(components(edges.unionByName(last)))
+    named = names.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = own.join(settle(named.join(lowest, "component").select("h1", "h2", "component_id")), ["h1", "h2"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` (read from files) but those that a row with a smaller id links to, directly or over others.
+
+    Of each component one row stays, the one with the smallest id (of equal ids any one; rows without an id come last). Rows whose sets
+    are empty all stay. Rows are told apart by their place in the files, so neither repeated nor missing ids hide anything.
+    """
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    linked = link(placed, id_col="__row", text_col=text_col, percent=percent).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__row")
+    groups = linked.join(linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("component_id"), "component_id", "left_semi")
+    groups = settle(groups.join(placed.select("__row", id_col), "__row").withColumn("order", order))
+    kept = groups.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.__row").alias("__row"))
+    rest = settle(groups.select("__row").join(kept, "__row", "left_anti"))
+    return placed.join(rest, "__row", "left_anti").drop("__row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -278,18 +278,59 @@ def test_jaccard_join_beyond_leaders(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
 
 
-def test_cross_pairs_miss_no_link(spark, monkeypatch):
+def test_jaccard_join_with_repeated_and_missing_ids(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " x"), (9, b + " y"), (None, c), (12, c + " z"), (13, c), (None, prose(rng, 30)), (5, a), (20, None), (20, "")]
+    want = sorted([(5, 5), (5, 5), (7, 5), (9, 5), (None, 12), (12, 12), (13, 12), (None, None), (5, 5), (20, 20), (20, 20)], key=str)
+    for order in (rows, rows[::-1], sorted(rows, key=str)):
+        for parts in (1, 4):
+            docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+            assert sorted([(r.doc_id, r.component_id) for r in jaccard.link(docs).collect()], key=str) == want
+
+
+def test_jaccard_join_needs_no_blocks(spark, monkeypatch):
+    """What the sketches miss, here everything, the second step finds."""
+    rng = random.Random(15)
+    texts = []
+    for n in (3, 12, 40, 200):
+        base = prose(rng, n).split()
+        for k in range(6):
+            texts.append(" ".join(w if rng.random() > 0.02 * k else rng.choice(WORDS) for w in base))
+    monkeypatch.setattr(jaccard, "candidates", lambda reps: reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    rows = jaccard.link(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    rng = random.Random(16)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(5, a), (5, b), (5, a), (7, a + " x"), (None, b + " y"), (None, None), (None, "lone words"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__extra", F.lit(1))
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    kept = jaccard.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted([(r.doc_id, r.text) for r in kept], key=str) == sorted([(5, a), (5, b), (None, None), (None, "lone words"), (3, None), (3, "")], key=str)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_cross_pairs_miss_no_link(spark, monkeypatch, broadcast):
     monkeypatch.setattr(jaccard, "PART", 7)
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(jaccard, "BROADCAST", broadcast)
     rng = np.random.default_rng(3)
-    pool = rng.integers(-(1 << 62), 1 << 62, 60)
+    pool = rng.integers(0, 1 << 62, 60).astype(np.uint64)
     sets_ = []
     for size in (1, 2, 4, 30, 30, 55):
         for _ in range(25):
-            sets_.append({*rng.choice(pool[: size + 4], size, replace=False).tolist()})
-    order = [sorted(s, key=lambda v: v % (1 << 64)) for s in sets_]
+            sets_.append(set(rng.choice(pool[: size + 4], size, replace=False).tolist()))
     comp = rng.integers(0, 20, len(sets_)).tolist()
-    rest = spark.createDataFrame(list(zip(range(len(sets_)), comp, order, strict=True)), "id long, component long, hashes array<long>").repartition(5)
-    got = {(r.a, r.b) for r in jaccard.cross_pairs(rest).collect()}
+    g = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in sets_])
+    n = np.array([len(s) for s in sets_])
+    level = np.bincount(g & np.uint64(jaccard.PLACES - 1), minlength=jaccard.PLACES).astype(np.uint8)
+    columns = [c.to_pylist() for c in jaccard.prefix_columns(np.repeat(np.arange(len(n)), n), g, n, level, 75)]
+    held = spark.createDataFrame(list(zip(range(len(n)), comp, *columns, strict=True)), "id long, component long, n long, tokens array<long>, bits binary").repartition(5)
+    got = {(r.a, r.b) for r in jaccard.cross_pairs(held).collect()}
     for i, a in enumerate(sets_):
         for j in range(i + 1, len(sets_)):
             b = sets_[j]
