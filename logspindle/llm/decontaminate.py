@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import map_arrow
 from . import textvec as tv
+from .shared import settle, spare
 
 #: Words of a window.
 WINDOW = 10
@@ -23,64 +26,76 @@ GAP = 64
 #: Bytes of test items that go to the executors at once; more are searched in blocks.
 BLOCK = 16 << 20
 
-_INDEX = "segment_docs array<long>, n_words array<long>, first array<long>, terms array<long>, ends array<long>, positions array<int>"
-_FOUND = "doc_id long, n_words long, matches array<struct<item_id:string,kind:string,start:long,length:int>>"
+_INDEX = "segment long, docs array<long>, n_words array<long>, first array<long>, terms array<long>, ends array<long>, positions array<int>"
+_FOUND = "segment long, number int, doc_id long, n_words long, n_hit long, matches array<struct<item_id:string,kind:string,start:long,length:long>>"
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
 
-def _spread(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
+def _postings(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms in order, where each one's positions end, and the positions, rising within a term."""
+    order = np.argsort(h)
+    h = h[order]
+    new = h[1:] != h[:-1]
+    both = np.cumsum(np.append(0, new)[: len(h)]) << 32 | pos[order]
+    both.sort()
+    cut = np.flatnonzero(np.append(new, True)) if len(h) else np.zeros(0, np.int64)
+    return h[cut], cut + 1, (both & 0xFFFFFFFF).astype(np.int32)
 
 
-def _indexer(terms: np.ndarray | None, segment: int):
+def _segments(segment: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
         for batch in batches:
             raw, off = tv.text_buffer(batch.column(1))
-            ids = batch.column(0)
             for lo, hi in tv.runs(off, segment):
                 part, at = tv.LOWER[raw[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]
                 starts, ends, row = tv.words(part, at, tv.ALNUM)
-                h = tv.word_hashes(part, starts, ends)
                 n = np.bincount(row, minlength=hi - lo).astype(np.int64)
                 first = np.concatenate([[0], np.cumsum(n + GAP)[:-1]])
-                pos = (np.arange(len(row)) + row * GAP).astype(np.int32)
-                if terms is not None and len(terms):
-                    near = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-                    keep = terms[near] == h
-                    h, pos = h[keep], pos[keep]
-                elif terms is not None:
-                    h, pos = h[:0], pos[:0]
-                order = np.argsort(h, kind="stable")
-                h, pos = h[order], pos[order]
-                cut = np.flatnonzero(np.append(h[1:] != h[:-1], True)) if len(h) else np.zeros(0, np.int64)
-                one = lambda x: _spread(x, np.array([len(x)]))
-                doc = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids.slice(lo, hi - lo).cast(pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc, one(n), one(first), one(h[cut].view(np.int64)), one((cut + 1).astype(np.int64)), one(pos)], ["segment_docs", "n_words", "first", "terms", "ends", "positions"])
+                terms, ends, pos = _postings(tv.word_hashes(part, starts, ends), np.arange(len(row)) + row * GAP)
+                ids = batch.column(0).slice(lo, hi - lo).cast(pa.int64())
+                columns = [pa.array([number], pa.int64()), *[one(x) for x in (ids, n, first, terms.view(np.int64), ends, pos)]]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _INDEX.split(", ")])
+                number += 1
 
     return make
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, *, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """Token postings of ``docs``: a row for each segment of documents, with positions by term hash.
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """Token postings of all words of ``docs``, stored: a row for each segment of documents, with positions by term hash.
 
-    ``terms`` (sorted 64-bit hashes) restricts the postings to these; None keeps all. A segment's positions count
-    words through its documents, ``GAP`` free ones between two; ``first`` has each document's first position.
+    A segment's positions count words through its documents, ``GAP`` free ones between two; ``docs``, ``n_words`` and ``first``
+    have each document's id, number of words and first position.
     """
-    return map_arrow(_texts(docs, id_col, text_col), _indexer(terms, segment), _INDEX)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return settle(map_arrow(texts, _segments(segment), _INDEX))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+class Windows(NamedTuple):
+    """Different windows of a block of items: their words as places in ``terms``, and the items that have each."""
 
+    names: list[str | None]
+    terms: np.ndarray
+    at: np.ndarray
+    cuts: np.ndarray
+    owners: np.ndarray
+    owner_cuts: np.ndarray
 
-def windows_of(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple[str, np.ndarray]]:
-    """(item, word hashes) of each window of each item; an item of fewer words is one window, of none no window."""
-    out = []
-    for item, text in items:
-        words = _words(text)
-        if words:
+
+def windows_of(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Windows:
+    """The windows of (item, text); an item of fewer words is one window, of none no window."""
+    seen: dict[bytes, list[int]] = {}
+    for i, (_, text) in enumerate(items):
+        if words := _words(text):
             h = tv.string_hashes(words)
-            out += [(item, h[i : i + window]) for i in range(max(1, len(h) - window + 1))]
-    return out
+            for k in range(max(1, len(h) - window + 1)):
+                own = seen.setdefault(h[k : k + window].tobytes(), [])
+                if not own or own[-1] != i:
+                    own.append(i)
+    ends = lambda sizes: np.append(0, np.cumsum(np.array(list(sizes), np.int64)))
+    terms, at = np.unique(np.frombuffer(b"".join(seen), np.uint64), return_inverse=True)
+    return Windows([name for name, _ in items], terms, at, ends(len(k) // 8 for k in seen), np.array([i for v in seen.values() for i in v], np.int64), ends(map(len, seen.values())))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -118,115 +133,130 @@ def _near(lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[ok], length[ok]
 
 
-def _finder(windows: list[tuple[str, np.ndarray]], slop: int | None):
-    names = [item for item, _ in windows]
-    hashes = [h for _, h in windows]
-
+def _merged(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, start and end of the spans that overlapping or touching ones of one key make together."""
+    order = np.lexsort((start, key))
+    key, start, end = key[order], start[order], end[order]
+    if not len(key):
+        return key, start, end
+    group = np.cumsum(np.append(0, key[1:] != key[:-1])) * (int(end.max()) + 1)
+    far = np.maximum.accumulate(end + group)
+    new = np.append(True, start[1:] + group[1:] > far[:-1])
+    cut = np.flatnonzero(new)
+    return key[cut], start[cut], far[np.append(cut[1:], len(key)) - 1] - group[cut]
+
+
+def _hits(words: Windows, slop: int | None, terms: np.ndarray, begin: np.ndarray, ends: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Window, kind (0: phrase, 1: proximity), position and length of what a segment has of the windows."""
+    none = np.zeros(0, np.int64)
+    if not len(terms) or not len(words.at):
+        return none, none, none, none
+    near = np.minimum(np.searchsorted(terms, words.terms), len(terms) - 1)
+    term = np.where(terms[near] == words.terms, near, -1)[words.at]
+    found = [(none, none, none, none)]
+    for w in np.flatnonzero(np.minimum.reduceat(term, words.cuts[:-1]) >= 0).tolist():
+        lists = [pos[begin[t] : ends[t]] for t in term[words.cuts[w] : words.cuts[w + 1]].tolist()]
+        at = _phrase(lists)
+        if len(at):
+            found.append((np.full(len(at), w), np.zeros(len(at), np.int64), at, np.full(len(at), len(lists))))
+        if slop:
+            at, size = _near(lists, slop)
+            if len(at):
+                found.append((np.full(len(at), w), np.ones(len(at), np.int64), at, size))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _finder(words: Windows, slop: int | None):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(words.names, pa.string())
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, n, first, terms, ends, pos = (batch.column(i).slice(r, 1).flatten() for i in range(6))
+                ids, n, first, terms, ends, pos = (batch.column(i).slice(r, 1).flatten() for i in range(1, 7))
                 n, first, ends, pos = n.to_numpy(), first.to_numpy(), ends.to_numpy(), pos.to_numpy().astype(np.int64)
-                terms = terms.to_numpy().view(np.uint64)
-                begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                rows: dict[int, list] = {}
-                if len(terms):
-                    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-                    near = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
-                    term = np.where(terms[near] == flat, near, -1)
-                    cut = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
-                    alive = np.minimum.reduceat(term, cut[:-1]) >= 0 if len(flat) else []
-                    for w in np.flatnonzero(alive):
-                        lists = [pos[begin[t] : ends[t]] for t in term[cut[w] : cut[w + 1]]]
-                        at = _phrase(lists)
-                        hits = [("phrase", int(p), len(lists)) for p in at]
-                        if slop:
-                            hits += [("proximity", int(p), int(k)) for p, k in zip(*_near(lists, slop), strict=True)]
-                        for kind, p, k in hits:
-                            d = int(np.searchsorted(first, p, "right")) - 1
-                            rows.setdefault(d, []).append({"item_id": names[w], "kind": kind, "start": p - int(first[d]), "length": k})
-                kind = pa.list_(pa.struct([("item_id", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("length", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array([rows.get(d, []) for d in range(len(n))], kind)], ["doc_id", "n_words", "matches"])
+                w, kind, at, size = _hits(words, slop, terms.to_numpy().view(np.uint64), np.append(0, ends)[:-1], ends, pos)
+                doc = np.searchsorted(first, at, "right") - 1
+                start = at - first[doc]
+                exact = kind == 0
+                d, a, z = _merged(doc[exact], start[exact], (start + size)[exact])
+                n_hit = np.bincount(d, weights=z - a, minlength=len(n)).astype(np.int64)
+                # a span for each item: windows that several items have count for each
+                many = np.diff(words.owner_cuts)[w]
+                each = np.repeat(np.arange(len(w)), many)
+                owner = words.owners[np.repeat(words.owner_cuts[:-1][w] - (np.cumsum(many) - many), many) + np.arange(len(each))]
+                items = max(1, len(words.names))
+                key, a, z = _merged((doc[each] * 2 + kind[each]) * items + owner, start[each], (start + size)[each])
+                spans = pa.StructArray.from_arrays([names.take(pa.array(key % items)), pa.array(["phrase", "proximity"]).take(pa.array(key // items % 2)), pa.array(a), pa.array(z - a)], fields=list(_MATCHES.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(key // items // 2, minlength=len(n)))), pa.int32()), spans)
+                segment = pa.array(np.full(len(n), batch.column(0)[r].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([segment, pa.array(np.arange(len(n)), pa.int32()), ids, pa.array(n), pa.array(n_hit), lists], [c.split()[0] for c in _FOUND.split(", ")])
 
     return find
 
 
-def search(index: DataFrame, windows: list[tuple[str, np.ndarray]], *, slop: int | None = SLOP) -> DataFrame:
-    """A row for each document of ``index``, with the windows found: kind ``phrase`` (word for word) or ``proximity``."""
-    return map_arrow(index, _finder(windows, slop), _FOUND)
-
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_hit anew from the phrases of all blocks."""
+    for batch in batches:
+        flat = batch.column(5).flatten()
+        row = np.repeat(np.arange(batch.num_rows), batch.column(5).value_lengths().to_numpy())
+        exact = np.array([k == "phrase" for k in flat.field(1).to_pylist()], bool)
+        start = flat.field(2).to_numpy()[exact]
+        d, a, z = _merged(row[exact], start, start + flat.field(3).to_numpy()[exact])
+        n_hit = np.bincount(d, weights=z - a, minlength=batch.num_rows).astype(np.int64)
+        yield batch.set_column(4, "n_hit", pa.array(n_hit))
 
-def search_once(docs: DataFrame, windows: list[tuple[str, np.ndarray]], *, id_col: str = "doc_id", text_col: str = "text", slop: int | None = SLOP) -> DataFrame:
-    """``search`` on an index that isn't kept: each segment is built, searched and let go in one worker."""
-    terms = np.unique(np.concatenate([h for _, h in windows])) if windows else np.zeros(0, np.uint64)
-    make, find = _indexer(terms, SEGMENT), _finder(windows, slop)
-    return map_arrow(_texts(docs, id_col, text_col), lambda batches: find(make(batches)), _FOUND)
 
+def search(index: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_words, n_hit and matches (item_id, kind, start, length in words) of each document of a stored ``index``.
 
-def _items(benchmark: DataFrame, item_col: str, item_text_col: str, block: int) -> tuple[DataFrame, int]:
-    """The items that have text, and the number of blocks that they are searched in."""
+    Kind ``phrase`` is word for word, ``proximity`` in order with up to ``slop`` words between (``slop`` None: not looked for); overlapping or
+    touching windows of one item and kind are one match. The items are sent to the executors in blocks of at most about ``block``
+    bytes of text, however many there are; each block is a pass over the index, not over the texts.
+    """
+    if window + (slop or 0) > GAP:
+        raise ValueError(f"windows of at most {GAP} words")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return items, max(1, -(-size // block))
-
-
-def _block(items: DataFrame, blocks: int, b: int, window: int) -> list[tuple[str, np.ndarray]]:
-    mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-    return windows_of(sorted(((r["item"], r["text"]) for r in mine.toLocalIterator()), key=lambda x: (x[0] or "", x[1])), window)
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
+    out = None
+    for b in range(blocks):
+        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        rows = sorted(((r["item"], r["text"]) for r in mine.toLocalIterator()), key=lambda x: (x[0] or "", x[1]))
+        found = map_arrow(index, _finder(windows_of(rows, window), slop), _FOUND)
+        out = found if out is None else out.unionByName(found)
+    if blocks > 1:
+        out = settle(out)  # a block's windows needn't stay in the plan
+        out = out.groupBy("segment", "number").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"), F.flatten(F.collect_list("matches")).alias("matches"))
+        out = map_arrow(out, _union, _FOUND)
+    return out.drop("segment", "number")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, but those in which ``decontaminate`` finds a match, exact or near.
+    """The rows of ``docs``, all columns as they are, but those in which ``search`` finds a match, exact or near.
 
-    Each row is decided by its own text, whatever its id.
+    Each row is decided by its own text, whatever its id: the index holds 64-bit hashes of the texts; where two texts share one,
+    they are searched again under numbers of their own.
     """
-    items, blocks = _items(benchmark, item_col, item_text_col, block)
-    at = docs.columns.index(text_col)
-    for b in range(blocks):
-        docs = map_arrow(docs, _filter(_block(items, blocks, b, window), slop, at), docs.schema)
-    return docs
-
-
-def _filter(windows: list[tuple[str, np.ndarray]], slop: int | None, at: int):
-    terms = np.unique(np.concatenate([h for _, h in windows])) if windows else np.zeros(0, np.uint64)
-    make, find = _indexer(terms, SEGMENT), _finder(windows, slop)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
-            clean = np.ones(batch.num_rows, bool)
-            for found in find(make(iter([rows]))):
-                clean[found.column(0).to_numpy()] = found.column(2).value_lengths().to_numpy() == 0
-            yield batch.filter(pa.array(clean))
-
-    return run
+    key, sha = spare(docs, "__key"), spare(docs, "__sha")
+    look = lambda df, id_col: search(build_index(df, id_col=id_col, text_col="text"), benchmark, item_col=item_col, item_text_col=item_text_col, window=window, slop=slop, block=block).where(F.size("matches") > 0)
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    hits = settle(look(texts, "key").select(F.col("doc_id").alias("key")).distinct())
+    meant = settle(texts.join(hits, "key", "left_semi").select("key", F.sha2("text", 256).alias("sha")).distinct())
+    if meant.count() == hits.count():
+        return docs.withColumn(key, F.xxhash64(text_col)).join(hits.withColumnRenamed("key", key), key, "left_anti").select(*docs.columns)
+    some = settle(texts.join(hits, "key", "left_semi").withColumn("sha", F.sha2("text", 256)).dropDuplicates(["sha"]).withColumn("number", F.monotonically_increasing_id()))
+    bad = some.join(look(some, "number").select(F.col("doc_id").alias("number")).distinct(), "number").select(F.col("sha").alias(sha))
+    return docs.withColumn(sha, F.sha2(text_col, 256)).join(settle(bad), sha, "left_anti").select(*docs.columns)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, items (array of item ids with an exact window), near_items, contaminated for each document.
 
-    A document's words are hit where they lie inside an exact occurrence of a window of ``window`` consecutive words of
-    an item (an item of fewer words is one window). Null and empty texts have no words; items without words match
-    nothing; an item with a null id counts in n_hit and contaminated but is in no list of ids; rows that repeat an id get a row each; a null id stays; an empty benchmark hits nothing. The items are sent
-    to the executors in blocks of at most ``block`` bytes of text, however many there are.
+    Builds and stores the index of ``docs``, then searches it. A document's words are hit where they lie inside an exact occurrence of a
+    window of ``window`` consecutive words of an item (an item of fewer words is one window). Null and empty texts have no words; items without words match
+    nothing; an item with a null id counts in n_hit and contaminated but is in no list of ids; rows that repeat an id get a row each; a null id stays; an empty benchmark hits nothing.
     """
-    items, blocks = _items(benchmark, item_col, item_text_col, block)
-    rows = docs if blocks == 1 else docs.withColumn("__row", F.monotonically_increasing_id())
-    out = None
-    for b in range(blocks):
-        windows = _block(items, blocks, b, window)
-        found = search_once(rows, windows, id_col=id_col if blocks == 1 else "__row", text_col=text_col, slop=slop)
-        out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-        names = rows.select(F.col("__row"), F.col(id_col).cast("long").alias("__id"))
-        out = out.join(names, F.col("doc_id") == F.col("__row")).select(F.col("__id").alias("doc_id"), "n_words", "matches")
-    exact = F.filter("matches", lambda m: m["kind"] == "phrase")
-    near = F.filter("matches", lambda m: m["kind"] == "proximity")
-    hit = F.array_distinct(F.flatten(F.transform(exact, lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1))))
-    of = lambda m: F.array_sort(F.array_distinct(F.array_compact(F.transform(m, lambda x: x["item_id"]))))
-    out = out.select("doc_id", "n_words", "matches", F.size(hit).cast("long").alias("n_hit"), of(exact).alias("items"), of(near).alias("near_items"))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    out = search(build_index(docs, id_col=id_col, text_col=text_col), benchmark, item_col=item_col, item_text_col=item_text_col, window=window, slop=slop, block=block)
+    of = lambda kind: F.array_sort(F.array_distinct(F.array_compact(F.transform(F.filter("matches", lambda m: m["kind"] == kind), lambda x: x["item_id"]))))
+    return out.select("doc_id", "n_words", "matches", "n_hit", of("phrase").alias("items"), of("proximity").alias("near_items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

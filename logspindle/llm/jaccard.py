@@ -28,7 +28,7 @@ GROUP = 24
 PLACES, SLICE = 1 << 20, 1 << 14
 #: Members of a shingle's group that one task compares; larger groups are dealt out as pairs of parts.
 PART = 128
-#: 64-bit words of the parity sketch that is compared before sets are.
+#: 64-bit words, at least, of the parity sketch that is compared before sets are.
 SKETCH = 8
 #: So many rows at most are broadcast; more are joined by a shuffle.
 BROADCAST = 1 << 20
@@ -45,30 +45,37 @@ def shingles(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.
     h = tv.word_hashes(raw, starts, ends)
     n = np.bincount(row, minlength=len(off) - 1)
     first = np.cumsum(n) - n
-    rows, out = [], []
+    held = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    out = np.zeros(int(held.sum()), np.uint64)
+    start = np.cumsum(held) - held
     if len(h) >= size:
         g = np.zeros(len(h) - size + 1, np.uint64)
         for k in range(size):
             g = tv.mix(g ^ h[k : len(h) - size + 1 + k]) + np.uint64(k + 1)
-        same = row[: len(g)] == row[size - 1 :]
-        rows, out = [row[: len(g)][same]], [g[same]]
+        out[np.repeat(n >= size, held)] = g[row[: len(g)] == row[size - 1 :]]
     for k in range(1, size):
         short = np.flatnonzero(n == k)
         if len(short):
             g = np.zeros(len(short), np.uint64)
             for i in range(k):
                 g = tv.mix(g ^ h[first[short] + i]) + np.uint64(i + 1)
-            rows.append(short)
-            out.append(tv.mix(g ^ np.uint64(k << 32)))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    row, g = np.concatenate(rows), tv.mix(np.concatenate(out))
-    order = np.lexsort((g, row))
-    row, g = row[order], g[order]
+            out[start[short]] = tv.mix(g ^ np.uint64(k << 32))
+    row, g = np.repeat(np.arange(len(n)), held), tv.mix(out)
+    _sort_rows(g, held)
+    if not len(g):
+        return row, g
     new = np.append(True, (row[1:] != row[:-1]) | (g[1:] != g[:-1]))
     return row[new], g[new]
 
 
+def _sort_rows(values: np.ndarray, n: np.ndarray) -> None:
+    """Sorts each row's ``n`` values, in place: many short sorts are several times as fast as one of pairs."""
+    ends = np.cumsum(n)
+    many = n > 1
+    for a, b in zip((ends - n)[many].tolist(), ends[many].tolist(), strict=True):
+        values[a:b].sort()
+
+
 def bands(percent: int = PERCENT) -> np.ndarray:
     """Lower ends of the size bands: a set's partners lie in its own band or a neighbouring one."""
     at = [1]
@@ -242,16 +249,21 @@ def prefix_columns(row: np.ndarray, g: np.ndarray, n: np.ndarray, level: np.ndar
     """Each set's size, its prefix and its parity sketch.
 
     Shingles are ordered from rare to common. Two linked sets share a shingle of their prefixes of n - ceil(t n) + 1 in any
-    order that all sets have in common, so places that several shingles fall on cost time, not links.
+    order that all sets have in common, so places that several shingles fall on cost time, not links. A token is a shingle's level and 56 bits
+    of its hash; shingles that fall on one token only make more candidates. A sketch has two bits and more for each shingle, in a
+    power of two of words, so that a longer one folds to a shorter one.
     """
-    order = np.lexsort((g, level[g & np.uint64(PLACES - 1)], row))
+    tokens = level[g & np.uint64(PLACES - 1)].astype(np.uint64) << np.uint64(56) | g >> np.uint64(8)
+    _sort_rows(tokens, n)
     rank = np.arange(len(g)) - (np.cumsum(n) - n)[row]
     pick = rank < (n - -(-n * percent // 100) + 1)[row]
-    bits = np.zeros((len(n), SKETCH), np.uint64)
+    words = SKETCH << np.ceil(np.log2(np.maximum(1, n / (SKETCH * 32)))).astype(np.int64)
+    ends = np.cumsum(words)
+    bits = np.zeros(int(words.sum()), np.uint64)
     bit = tv.mix(g + np.uint64(0x77))
-    np.bitwise_xor.at(bits, (row, (bit >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (bit & np.uint64(63)))
-    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * SKETCH), len(n), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
-    return [pa.array(n.astype(np.int64)), _lists(row[pick], g[order][pick], len(n)), sketch]
+    np.bitwise_xor.at(bits, (ends - words)[row] + (bit >> np.uint64(6) & (words - 1).astype(np.uint64)[row]).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    sketch = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, ends * 8).astype(np.int32)), pa.py_buffer(bits.tobytes())])
+    return [pa.array(n.astype(np.int64)), _lists(row[pick], tokens[pick], len(n)), sketch]
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -266,17 +278,22 @@ def cross_pairs(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     Pairs share a shingle of their prefixes, after which enough shingles are left in both sets, and the Hamming distance of their
     parity sketches is no larger than the symmetric difference of a linked pair.
     """
-    left = F.col("n") - F.col("rank")
+    rank, left = F.col("rank"), F.col("n") - F.col("rank")
+    # of a linked pair, the smaller set has a shared shingle so early that twice its size counts
+    early = rank <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
     rows = held.select("id", "component", "n", F.posexplode("tokens").alias("rank", "token"))
-    rows = rows.select("id", "component", "n", left.alias("left"), "token", (F.floor(left * (100 + percent) / percent).cast("long") - F.col("n")).alias("reach"))
-    span = [F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    rows = rows.select("id", "component", "n", left.alias("left"), "token", early.alias("early"))
+    first = F.min(F.when(F.col("early"), F.col("n")))
+    span = [F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), first.alias("first")]
     # few rare shingles lie in several components: what they are is broadcast where it is small
-    mixed = settle(rows.groupBy("token").agg(*span).where(F.col("lo") < F.col("hi")).select("token", "size"))
+    mixed = settle(rows.groupBy("token").agg(*span).where((F.col("lo") < F.col("hi")) & F.col("first").isNotNull()).select("token", "size"))
     few = mixed.count() <= BROADCAST
-    rows = settle((rows.join(F.broadcast(mixed), "token") if few else _join_hot(rows, mixed, "token", "size")).drop("size"))
+    rows = (rows.join(F.broadcast(mixed), "token") if few else _join_hot(rows, mixed, "token", "size")).drop("size")
+    rows = settle(rows.withColumn("reach", F.floor(F.col("left") * (100 + percent) / percent).cast("long") - F.col("n")))
     # a set whose partners would all be smaller than the token's smallest set, or out of the others' reach, has none by this token
-    ends = settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("reach").alias("far")))
-    fit = settle(_join_hot(rows, ends, "token", "size").where((F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("far"))).drop("size", "least", "far"))
+    ends = settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("reach").alias("far"), first.alias("first")))
+    fits = (F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("far")) & (F.col("early") | (F.col("n") >= F.col("first")))
+    fit = settle(_join_hot(rows, ends, "token", "size").where(fits).drop("size", "least", "far", "first"))
     # members of a token's largest component aren't compared with each other: each lies in one part, and the others come to it
     sizes = fit.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
@@ -293,25 +310,26 @@ def cross_pairs(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     dealt = _join_hot(fit, of, "token", "size").withColumn("own", F.pmod(F.xxhash64("id"), F.when(in_top, F.col("tops")).otherwise(F.col("others"))))
     dealt = dealt.withColumn("cell", F.explode(cells)).withColumn("own", F.when(in_top, F.lit(-1).cast("long")).otherwise(own))
-    member = F.struct("id", "component", "n", "left", "own").alias("m")
+    member = F.struct("id", "component", "n", "left", "own", F.col("early").cast("long").alias("early")).alias("m")
     groups = dealt.groupBy("token", "cell").agg(F.collect_list(member).alias("m")).select(((F.col("cell.kind") == 0) & (F.col("cell.i") == F.col("cell.j"))).alias("alike"), "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = batch.column(1)
             off, flat = m.offsets.to_numpy(), m.flatten()
-            ids, comp, n, left, own = (flat.field(k).to_numpy() for k in range(5))
+            ids, comp, n, left, own, early = (flat.field(k).to_numpy() for k in range(6))
             off = off - off[0]
             found = []
             for lo, hi, one in zip(off[:-1].tolist(), off[1:].tolist(), batch.column(0).to_pylist(), strict=True):
-                c, o, k = comp[lo:hi], own[lo:hi], left[lo:hi]
+                c, o = comp[lo:hi], own[lo:hi]
                 may = c[:, None] != c[None, :]
                 if not one:
                     may &= o[:, None] != o[None, :]
                 x, y = np.nonzero(np.triu(may, 1))
-                both, total = np.minimum(k[x], k[y]), n[lo:hi][x] + n[lo:hi][y]
-                fit = both * (100 + percent) >= total * percent
-                x, y, total = x[fit] + lo, y[fit] + lo, total[fit]
+                x, y = x + lo, y + lo
+                both, total = np.minimum(left[x], left[y]), n[x] + n[y]
+                fit = (both * (100 + percent) >= total * percent) & ((early[x] > 0) & (n[x] <= n[y]) | (early[y] > 0) & (n[y] <= n[x]))
+                x, y, total = x[fit], y[fit], total[fit]
                 small = ids[x] < ids[y]
                 found.append(np.stack([np.where(small, ids[x], ids[y]), np.where(small, ids[y], ids[x]), total]))
             got = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
@@ -326,8 +344,13 @@ def near_sketches(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH) for i in (3, 4))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            apart = np.zeros(batch.num_rows, np.int64)
+            wide = [batch.column(i).to_pylist() for i in (3, 4)]
+            words = np.array([[len(b) >> 3 for b in w] for w in wide], np.int64).reshape(2, -1)
+            for x, y in np.unique(words, axis=1).T.tolist():
+                at = np.flatnonzero((words[0] == x) & (words[1] == y))
+                a, b = (np.bitwise_xor.reduce(np.frombuffer(b"".join([w[i] for i in at]), np.uint64).reshape(len(at), -1, min(x, y)), 1) for w in wide)
+                apart[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
             near = pa.array(apart * (100 + percent) <= batch.column(2).to_numpy() * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 

@@ -9,13 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The application's own folder under ``spark.checkpoint.dir``; only where that is unset, one in the temporary folder."""
+    """The application's own folder under ``spark.checkpoint.dir``. Only a local master does without that setting, with one in the temporary folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logspindle-checkpoints-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="logspindle-checkpoints-"))
     return context.getCheckpointDir()
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to a table in the shared folder and read from there: its lineage ends, and lost executors cost nothing."""
     spark = df.sparkSession

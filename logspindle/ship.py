@@ -10,11 +10,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch at most: texts of some kilobytes make batches of some megabytes, in the JVM and in Python.
+#: Rows and bytes of an Arrow batch at most: texts of some kilobytes make batches of some megabytes, in the JVM and in Python.
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 #: Bytes of batches after which a worker hands freed memory back.
 TRIM_BYTES = 128 << 20
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def ship(spark: SparkSession) -> None:
@@ -62,8 +63,10 @@ def map_arrow(df: DataFrame, function, schema, keeps: str | None = None) -> Data
     """``df.mapInArrow`` with the package at hand on the executors, and lean workers. ``keeps``: the key of what the function keeps."""
     spark = df.sparkSession
     ship(spark)
-    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    for name, most in _LIMITS.items():  # read when the plan runs, so they stay set
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
     def run(batches):
         if _kept and keeps not in _kept:

@@ -112,6 +112,37 @@ def test_items_without_an_id_are_searched(spark, block):
     assert [(r.n_hit, list(r["items"]), list(r.near_items), r.contaminated) for r in rows] == [(12, [], [], True), (24, ["i"], [], True), (0, [], [], False)]
 
 
+def test_one_word_repeated_costs_little(spark):
+    """Windows that are equal count once, and their hits are spans, not words."""
+    items = [("a", " ".join(["la"] * 600)), ("b", " ".join(["la"] * 12))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    (r,) = decontaminate.decontaminate(frame(spark, [" ".join(["la"] * 3000)]), bench).collect()
+    assert (r.n_hit, list(r["items"]), len([m for m in r.matches if m.kind == "phrase"])) == (3000, ["a", "b"], 2)
+    assert len(decontaminate.windows_of(items).cuts) == 2
+
+
+def test_stored_index_serves_many_benchmarks(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, 50) for _ in range(30)] + ["x" * 300_000 + " " + " ".join(WORDS[:12]), None]
+    index = decontaminate.build_index(frame(spark, texts), segment=2000)
+    assert index.count() > 3
+    for n in (3, 5):
+        items = [(str(i), " ".join(texts[i].split()[5 : 5 + 4 * n])) for i in range(n)] + [("far", " ".join(WORDS[:12]))]
+        found = {r.doc_id: r for r in decontaminate.search(index, spark.createDataFrame(items, "item_id string, text string"), slop=None).collect()}
+        assert {i: (r.n_words, r.n_hit, sorted({m.item_id for m in r.matches})) for i, r in found.items()} == dict(enumerate(brute_hits(texts, items)))
+        assert all(" ".join(texts[i].split()[m.start : m.start + m.length]) == dict(items)[m.item_id] for i, r in found.items() for m in r.matches)
+    with pytest.raises(ValueError):
+        decontaminate.search(index, spark.createDataFrame(items, "item_id string, text string"), window=70)
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    item = " ".join(WORDS[:12])
+    docs = spark.createDataFrame([(1, item), (2, "clean words"), (3, None)], "doc_id long, text string").withColumn("__key", F.lit("k"))
+    monkeypatch.setattr(decontaminate.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    kept = decontaminate.keep_clean(docs, spark.createDataFrame([("i", item)], "item_id string, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3] and kept.columns == docs.columns
+
+
 # --- 3: toxicity
 
 
