@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspindle.llm import decontaminate, jaccard, langid, lines, packing
-from logspindle.llm.shared import settle
+from logspindle.llm.shared import discard, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        discard(before)
     return docs

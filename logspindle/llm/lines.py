@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: A line is boilerplate of a site if more than this share of the site's pages has it ...
 RATIO = 0.01
-#: ... and at least so many pages.
+#: ... and at least so many pages, or more than this share of them (but two at least).
 MIN_PAGES = 5
+SMALL_RATIO = 0.5
 #: Copies of each site's page total, so that the lines of one large site are spread over tasks.
 SALTS = 32
 
@@ -24,9 +25,10 @@ def boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     one = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
     totals = one.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).select("site", "pages", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    counts = _lines(one).groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages_with"), F.min("id").alias("first_id")).where(F.col("pages_with") >= min_pages)
+    counts = _lines(one).groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages_with"), F.min("id").alias("first_id")).where(F.col("pages_with") >= min(2, min_pages))
     salted = counts.withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int"))
-    return salted.join(totals, ["site", "salt"]).where(F.col("pages_with") > F.lit(ratio) * F.col("pages")).select("site", "line", "pages_with", "pages", "first_id")
+    often = (F.col("pages_with") >= min_pages) | (F.col("pages_with") > SMALL_RATIO * F.col("pages"))
+    return salted.join(totals, ["site", "salt"]).where(often & (F.col("pages_with") > F.lit(ratio) * F.col("pages"))).select("site", "line", "pages_with", "pages", "first_id")
 
 
 def _lines(one: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Drops each site's boilerplate lines; all rows and columns of ``docs`` stay, with ``n_lines`` and ``n_dropped`` (long) added.
 
     Pages are grouped by site; a line's share is the number of the site's pages that contain it over the
-    number of the site's pages. A line over ``ratio`` (and on ``min_pages`` pages at least) is dropped from
+    number of the site's pages. A line over ``ratio`` (and on ``min_pages`` pages at least, or on more than half of a small site's) is dropped from
     every page but the one with the site's smallest id that has it, so that a group of whole copies keeps one
     of them. Lines are compared trimmed of spaces; blank lines stay. Null text stays null and has no lines; a
     null site is a site of its own (with the empty name); a line that a page repeats counts once for it and
@@ -75,7 +77,7 @@ WITH l AS (
 d AS (SELECT DISTINCT doc_id, site, trim(line, ' ') AS t FROM l WHERE length(trim(line, ' ')) > 0),
 p AS (SELECT coalesce(source, '') AS site, count(*) AS pages FROM documents GROUP BY 1),
 b AS (SELECT site, t, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY 1, 2),
-bad AS (SELECT site, t, first_id FROM b JOIN p USING (site) WHERE n >= {MIN_PAGES} AND n > {RATIO}::DOUBLE * pages),
+bad AS (SELECT site, t, first_id FROM b JOIN p USING (site) WHERE n >= 2 AND (n >= {MIN_PAGES} OR n > {SMALL_RATIO}::DOUBLE * pages) AND n > {RATIO}::DOUBLE * pages),
 m AS (SELECT l.*, bad.t IS NOT NULL AND l.doc_id <> bad.first_id AS gone
       FROM l LEFT JOIN bad ON bad.site = l.site AND bad.t = trim(l.line, ' ')),
 a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,

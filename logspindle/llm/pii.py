@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,16 +23,22 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api_?key)\x20?[=:]\x20?[\"']?([A-Za-z0-9_./+=-]{16,})")
+_WORD = re.compile(r"[^\W_]+")
 _SECRET_HINT = re.compile(r"(?i)token|secret|passw|api_?key")
-# Words near a span that raise its score.
+# Words near a span that raise its score, and such that lower it.
 NEAR = {
-    "email": ("mail", "contact", "write"), "ip": ("ip", "host", "address", "server"), "card": ("card", "visa", "credit", "payment", "pay"),
+    "email": ("mail", "email", "contact", "write"), "ip": ("ip", "host", "address", "server", "login"), "card": ("card", "visa", "mastercard", "credit", "payment", "pay"),
     "phone": ("phone", "call", "tel", "mobile", "fax"), "iban": ("iban", "account", "bank", "transfer"), "ssn": ("ssn", "social", "security"), "secret": ("key", "login", "auth"),
 }
-#: A kind's score without context; the base kinds are above KEEP, so context never drops them.
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.85, "ssn": 0.45, "secret": 0.8}
-#: What a near word adds, the characters looked at on either side, and the score that keeps a span.
-BONUS, REACH, KEEP = 0.2, 40, 0.5
+AGAINST = {
+    "email": ("example", "noreply"), "ip": ("version", "release", "section", "chapter"), "card": ("order", "serial", "isbn", "tracking", "invoice"),
+    "phone": ("order", "serial", "isbn", "version"), "iban": ("serial", "part", "model"), "ssn": ("order", "serial", "part", "model"), "secret": ("example", "placeholder", "dummy"),
+}
+#: A kind's score without context. Spans below KEEP are dropped, but for the base kinds, which are kept with what score they have.
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.85, "ssn": 0.45, "secret": 0.65}
+#: What near words add or take, the characters looked at on either side, and the score that keeps a span.
+BONUS, MALUS, REACH, KEEP = 0.2, 0.3, 40, 0.5
+BASE = ("email", "ip", "card", "phone")
 ORDER = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 
 
@@ -87,13 +92,23 @@ def spans(text: str | None) -> list[Span]:
         found += (("secret", *m.span(1)) for m in _SECRET.finditer(text))
     out = []
     for kind, a, b in found:
-        around = (text[max(0, a - REACH) : a] + " " + text[b : b + REACH]).lower()
-        score = min(1.0, PRIOR[kind] + BONUS * any(w in around for w in NEAR[kind]))
-        if score >= KEEP:
-            out.append(Span(kind, a, b, score))
+        words = _around(text, a, b)
+        score = PRIOR[kind] + BONUS * (not words.isdisjoint(NEAR[kind])) - MALUS * (not words.isdisjoint(AGAINST[kind]))
+        if score >= KEEP or kind in BASE:
+            out.append(Span(kind, a, b, round(min(1.0, score), 2)))
     return out
 
 
+def _around(text: str, start: int, end: int) -> set[str]:
+    """The whole words within ``REACH`` characters of a span, in lower case."""
+    lo, hi = max(0, start - REACH), min(len(text), end + REACH)
+    while 0 < lo < start and text[lo - 1].isalnum() and text[lo].isalnum():
+        lo += 1  # a word that is cut
+    while end < hi < len(text) and text[hi - 1].isalnum() and text[hi].isalnum():
+        hi -= 1
+    return set(_WORD.findall(text[lo:start].lower())) | set(_WORD.findall(text[end:hi].lower()))
+
+
 _SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>"
 _STRUCT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -101,7 +116,8 @@ _STRUCT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("en
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, end, score) of every row of ``docs``.
 
-    Null and empty texts have no spans; rows that repeat get a row each; null ids stay; other columns aren't looked at.
+    A span's score is its kind's, more with one of the words of ``NEAR`` in reach and less with one of ``AGAINST``. The base kinds (email, ip,
+    card, phone) stay whatever their score, so that callers set the bar; the others need ``KEEP``. Null and empty texts have no spans; rows that repeat get a row each; null ids stay; other columns aren't looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,17 +130,10 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, _SCHEMA)
 
 
-def joined(found: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    base = ("email", "ip", "card", "phone")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *[count(k) for k in base], F.sha2(text(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    likely = F.size(F.filter("spans", lambda s: s["score"] >= KEEP)).cast("long")
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(text(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), likely.alias("n_likely"), scores.alias("scores"))

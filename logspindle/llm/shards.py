@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, spare
 
 #: Bytes of text that a shard may hold.
 LIMIT = 2 << 20
@@ -60,27 +60,30 @@ def shard(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", l
     The shard of a row is the bucket whose bits begin its key's hash; shard_id writes those bits (empty: all
     rows fit one shard). n_bytes counts the text as UTF-8 (null: 0). Rows with one key can't be split by
     hash bits; where they alone exceed the limit, the rows of each input partition are dealt over numbered parts
-    of the bucket (``bits.partition.part``), each within the limit unless it is one row that alone exceeds it. Null keys hash as the empty string. Columns of those four names are replaced.
+    of the bucket (``bits.partition.part``), each within the limit unless it is one row that alone exceeds it. Which part a row of such a key gets
+    follows the input's partitions. Null keys hash as the empty string. Columns of those four names are replaced; other columns pass, whatever their names.
     """
-    own = ("shard_id", "shard_depth", "shard_bytes", "n_bytes")
-    base = docs.drop(*own).withColumn("__from", F.spark_partition_id()).withColumn("__h", _hash(F.col(key_col))).withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).withColumn("__order", F.xxhash64(text_col))
-    dirs = settle(directory(base.select(F.col("__h").alias("h"), "n_bytes"), limit))
+    names = ("shard_id", "shard_depth", "shard_bytes", "n_bytes")
+    docs = docs.drop(*names)
+    origin, order, h, k, prefix, piece = (spare(docs, f"__{x}") for x in ("from", "order", "h", "k", "prefix", "part"))
+    base = docs.withColumn(origin, F.spark_partition_id()).withColumn(h, _hash(F.col(key_col))).withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).withColumn(order, F.xxhash64(text_col))
+    dirs = settle(directory(base.select(F.col(h).alias("h"), "n_bytes"), limit))
     depths = [r["depth"] for r in dirs.select("depth").distinct().collect()]  # at most BITS + 1 rows
-    tries = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("__h"), d).alias("prefix")) for d in sorted(depths)] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))]))
-    keys = base.select("__h").distinct().withColumn("t", tries).select("__h", "t.depth", "t.prefix")
-    found = keys.join(dirs, ["depth", "prefix"]).select(F.col("__h").alias("__k"), F.col("depth").alias("shard_depth"), "prefix", "shard_bytes")
-    bits = F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(prefix, 10, 2), shard_depth, '0')"))
-    rows = base.join(found, F.col("__h") == F.col("__k"), "left").withColumn("shard_id", bits)
+    tries = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("h"), d).alias("prefix")) for d in sorted(depths)] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))]))
+    keys = base.select(F.col(h).alias("h")).distinct().withColumn("t", tries).select("h", "t.depth", "t.prefix")
+    found = keys.join(dirs, ["depth", "prefix"]).select(F.col("h").alias(k), F.col("depth").alias("shard_depth"), F.col("prefix").alias(prefix), "shard_bytes")
+    bits = F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col(prefix), 10, 2), F.col("shard_depth"), F.lit("0")))
+    rows = base.join(found, F.col(h) == F.col(k), "left").withColumn("shard_id", bits)
     whole = rows.where(F.col("shard_bytes") <= limit)
     over = rows.where(F.col("shard_bytes") > limit)
     # what is left is one repeated key: cut its running byte count; a row that crosses a limit opens the next part
-    w = Window.partitionBy("shard_id", "__from").orderBy("n_bytes", "__order")
+    w = Window.partitionBy("shard_id", origin).orderBy("n_bytes", order)
     before = F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1))
     half = max(1, limit // 2)
     part = F.when(F.col("n_bytes") > half, F.row_number().over(w) + F.lit(1 << 40)).otherwise(F.floor(F.coalesce(before, F.lit(0)) / F.lit(half)))
-    over = over.withColumn("__part", part).withColumn("shard_id", F.concat_ws(".", "shard_id", F.col("__from").cast("string"), F.col("__part").cast("string")))
-    over = over.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("shard_id"))).drop("__part")
-    return whole.unionByName(over).drop("__h", "__k", "__from", "__order", "prefix")
+    over = over.withColumn(piece, part).withColumn("shard_id", F.concat_ws(".", "shard_id", F.col(origin).cast("string"), F.col(piece).cast("string")))
+    over = over.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("shard_id"))).drop(piece)
+    return whole.unionByName(over).drop(h, k, origin, order, prefix)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

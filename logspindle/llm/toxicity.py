@@ -162,18 +162,23 @@ def score(text: str | None, lexicon: Lexicon, match: Matcher) -> tuple[float, li
     return 1 - (1 - lexicon.base) * float(np.prod(list(doubt.values()))), found
 
 
-def _distinct(texts: list[tuple[str, int]]) -> list[tuple[set[str], int]]:
-    """Word sets without near copies (texts that share one of four minima of hashed word triples)."""
+def _gist(text: str) -> tuple[list[str], list[int]]:
+    """The different words of a text, in order, and marks that near copies share: four minima of hashed word triples."""
+    words = _WORD.findall(text.lower())
+    if not words:
+        return [], []
+    h = tv.string_hashes([w.encode("utf-8", "replace") for w in words])
+    g = h[:-2] ^ (h[1:-1] << np.uint64(1)) ^ (h[2:] << np.uint64(2)) if len(h) > 2 else h
+    return sorted(set(words)), [int(tv.mix(g + np.uint64(7919 * i)).min().view(np.int64)) for i in range(1, 5)]
+
+
+def _distinct(gists: list[tuple[list[str], list[int], int]]) -> list[tuple[set[str], int]]:
+    """Word sets without near copies (texts that share one of their marks)."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for text, toxic in texts:
-        words = _WORD.findall(text.lower())
-        if not words:
-            continue
-        h = tv.string_hashes([w.encode("utf-8", "replace") for w in words])
-        g = h[:-2] ^ (h[1:-1] << np.uint64(1)) ^ (h[2:] << np.uint64(2)) if len(h) > 2 else h
-        marks = {(i, int(tv.mix(g + np.uint64(7919 * i)).min())) for i in range(1, 5)}
-        if not marks & seen:
+    for words, minima, toxic in sorted(gists):
+        marks = set(enumerate(minima))
+        if words and not marks & seen:
             out.append((set(words), toxic))
         seen |= marks
     return out
@@ -181,7 +186,12 @@ def _distinct(texts: list[tuple[str, int]]) -> list[tuple[set[str], int]]:
 
 def learn(texts: list[tuple[str, int]]) -> Lexicon:
     """A lexicon from (text, toxic 0/1): words and stems that mark toxic texts, with weights by how well they do."""
-    rows = _distinct(texts)
+    return learn_gists([(*_gist(text), toxic) for text, toxic in texts])
+
+
+def learn_gists(gists: list[tuple[list[str], list[int], int]]) -> Lexicon:
+    """``learn`` from the texts' words and marks."""
+    rows = _distinct(gists)
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for words, toxic in rows:
         features = {(w, False) for w in words}
@@ -231,13 +241,25 @@ def learn(texts: list[tuple[str, int]]) -> Lexicon:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS) -> Lexicon:
-    """A lexicon from at most ``rows`` labelled rows, those with the smallest hashes of their ids."""
+    """A lexicon from at most ``rows`` labelled rows, those with the smallest hashes of their ids.
+
+    Only the texts' different words and marks come to the driver. Of rows that repeat an id the least text counts, of labels the largest.
+    """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = {r[0]: r[1] for r in marks.orderBy(F.xxhash64(id_col), id_col).limit(rows).collect()}
     if not chosen:
         return Lexicon()
-    got = docs.where(F.col(id_col).isin(list(chosen)) & F.col(text_col).isNotNull()).select(id_col, text_col).toLocalIterator()
-    return learn(sorted((r[1], int(chosen[r[0]] == 1)) for r in got))
+    some = docs.where(F.col(id_col).isin(list(chosen)) & F.col(text_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                got = [_gist(t.as_py()) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["id", "words", "marks"])
+
+    got = map_arrow(some.select("id", "text"), run, "id long, words array<string>, marks array<long>").toLocalIterator()
+    return learn_gists([(r["words"], r["marks"], int(chosen[r["id"]] == 1)) for r in got])
 
 
 def rate(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

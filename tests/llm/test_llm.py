@@ -62,6 +62,12 @@ def test_lines(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_small_sites(spark):
+    texts = ["foot\na", "foot\nb", "foot\nc", "one\nx", "one\ny", "z"]
+    rows = {r.doc_id: r for r in lines.dedup_lines(frame(spark, texts, ["s"] * 3 + ["t"] * 3)).collect()}
+    assert [rows[i].text for i in range(6)] == ["foot\na", "b", "c", "one\nx", "y", "z"]
+
+
 # --- 2: decontamination
 
 
@@ -159,6 +165,11 @@ def test_toxicity(spark):
     out = toxicity.rate(frame(spark, ["Blockhead!", None, "", "w1"]), lexicon).orderBy("doc_id").collect()
     assert [r.score >= 0.3 for r in out] == [True, False, False, False] and out[0].matches[0].start == 0
     assert toxicity.rate(empty(spark), lexicon).count() == 0 and toxicity.learn([]).terms == {}
+    docs = frame(spark, [t for t, _ in rows] + [None, "", "long " * 100_000])
+    again = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    marks = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(0, None), (None, 1), (len(rows), 1)], "doc_id long, toxic int")
+    assert toxicity.train(again, marks) == lexicon
+    assert toxicity.rate(again, lexicon).count() == len(rows) + 11
 
 
 def test_words_under_a_stem_keep_their_edit():
@@ -210,6 +221,17 @@ def test_language(spark):
     assert [r.lang_pred for r in odd][:3] == ["und"] * 3 and odd[3].lang_pred in kinds
     assert langid.keep_identified(frame(spark, [None, texts[0]]), judge).collect()[0].doc_id == 1
     assert langid.train(empty(spark)) == {} and langid.identify(empty(spark), judge).count() == 0
+    signs = langid.identify(frame(spark, ["½ ² ① Ⅷ _ 7", "½ " * 50_000]), judge).collect()
+    assert [(r.lang_pred, r.rejected) for r in signs] == [("und", True)] * 2
+    (long,) = langid.identify(frame(spark, [texts[0] * 400]), judge).collect()
+    assert (long.lang_pred, long.rejected) == (langs[0], False)
+
+
+def test_many_languages_and_repeated_ids(spark):
+    rng = random.Random(17)
+    rows = [(i % 40, f"l{i % 300}", prose(rng, 30)) for i in range(600)] + [(None, "l0", "x"), (1, None, "x"), (1, "l0", None)]
+    judge = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), rows=1)
+    assert len(judge) == 300 and all(judge.values())
 
 
 def test_language_rejects_what_it_has_not_learned():
@@ -219,10 +241,9 @@ def test_language_rejects_what_it_has_not_learned():
     judge = langid.Classifier({k: langid.normal(make(p, 4000)).encode() for k, p in kinds.items()})
     junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 200, 1000) for _ in range(40)]
     assert sum(not judge(t)[2] for t in junk) <= 2
-    # Four words are known to "xx" among many that none knows; another language, spelled with other syllables.
+    # Another language, spelled with other syllables.
     other = ["cki", "owa", "prz", "nie", "sta", "zyk"]
-    known = [w.decode() for w in sorted(judge.words[0] - judge.words[1] - judge.words[2])[:4]]
-    assert all(judge(make(other, n) + " " + " ".join(known))[2] for n in (200, 1000, 5000))
+    assert all(judge(make(other, n))[2] for n in (200, 1000, 5000))
     # Learned languages stay, of a few words and of many pieces.
     for k, p in kinds.items():
         assert [judge(make(p, n))[::2] for n in (5, 30, 300, 60000)] == [(k, False)] * 4
@@ -385,6 +406,30 @@ def test_sketch_blocks_are_a_pigeonhole():
 # --- 7: WebP
 
 
+def test_media_uses_what_makes_a_file_smaller():
+    """References in texts, the palette where there are few values, the predictors in pictures; all forms come back."""
+    rng = random.Random(18)
+    text = " ".join(rng.choice(["the", "quick", "brown", "fox", "jumps", "over", "lazy", "dogs", "every", "single", "day"]) for _ in range(600)).encode()
+    noise = bytes(rng.randrange(256) for _ in range(6400))
+    slope = ((np.arange(100)[:, None] * 3 + np.arange(64) * 2 + np.array([rng.randrange(3) for _ in range(6400)]).reshape(100, 64)) & 255).astype(np.uint8).tobytes()
+    few = bytes(rng.choice(b"0123456789") for _ in range(6400))
+    kinds = {}
+    for name, data in {"text": text, "noise": noise, "slope": slope, "few": few, "two": bytes(rng.choice(b"ab") for _ in range(6400)), "run": b"a" * 70_000 + b"b"}.items():
+        stored = media.store(media.payload(data))
+        assert media.samples_of(media.load(stored)) == media.payload(data)
+        kinds[name] = (len(stored) / len(data),)
+    bits = lambda data: sum(-n / len(data) * np.log2(n / len(data)) for n in np.bincount(np.frombuffer(data, np.uint8)) if n)
+    assert kinds["text"][0] < 0.7 * bits(text) / 8 and kinds["noise"][0] < 1.03 and kinds["slope"][0] < 0.5 and kinds["few"][0] < 0.46 and kinds["two"][0] < 0.15 and kinds["run"][0] < 0.01
+
+
+@given(st.binary(max_size=700), st.integers(0, 300), st.integers(1, 300))
+@settings(max_examples=150, deadline=None)
+def test_references_round_trip(data, back, size):
+    data = data + data[max(0, len(data) - back) :] * 2 + data[:size] + bytes([7]) * size
+    body = media.payload(data)
+    assert media.samples_of(media.load(media.store(body))) == body
+
+
 @given(st.binary(max_size=700))
 @settings(max_examples=80, deadline=None)
 def test_media_round_trip(data):
@@ -566,6 +611,9 @@ def test_shards(spark):
     for r in rows:
         sizes[r.shard_id] = sizes.get(r.shard_id, 0) + r.n_bytes
     assert len(rows) == 301 and max(sizes.values()) <= 2000 and len(sizes) > 5
+    odd = docs.limit(20).withColumns({n: F.lit("mine") for n in ("prefix", "__h", "__from", "__order", "depth", "h", "k", "n_bytes")})
+    kept = shards.shard(odd, limit=500).collect()
+    assert len(kept) == 20 and all(r.prefix == r["__h"] == r["__from"] == r["__order"] == r.depth == r.h == r.k == "mine" and r.n_bytes != "mine" for r in kept)
     assert shards.shard(empty(spark)).count() == 0 and shards.shard(docs.limit(1)).first().shard_id == ""
 
 
@@ -592,6 +640,10 @@ def test_pii(spark):
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB83 WEST 1234 5698 7654 32")
     near, bare = pii.spans("ssn 123-45-6789")[0].score, pii.spans("123-45-6789")
     assert near >= pii.KEEP and not bare
+    assert not pii.spans("classn 123-45-6789") and not pii.spans("ssn of the part, serial 123-45-6789")  # whole words; words that speak against it
+    score = lambda t: pii.spans(t)[0].score
+    assert score("host 10.0.0.1") > score("ship 10.0.0.1") == score("10.0.0.1") > score("version 10.0.0.1") > 0  # a base span stays
+    assert score("x" * 38 + " ip 10.0.0.1") > score("zip" + " " * 38 + "10.0.0.1") == score("10.0.0.1")  # a word that the reach cuts isn't read
     rows = pii.find(frame(spark, [text, None, "", "1" * 200_000, "@" * 50_000 + "a" * 50_000])).orderBy("doc_id").collect()
     assert [len(r.spans) for r in rows] == [6, 0, 0, 0, 0] and pii.find(empty(spark)).count() == 0
 
