@@ -20,13 +20,14 @@ WINDOW = 10
 #: Extra words that a proximity match may hold.
 SLOP = 3
 #: Bytes of text of an index segment (a longer document is a segment of its own).
-SEGMENT = 3 << 20
+SEGMENT = 2 << 20
 #: Positions left free between documents, so that no match spans two.
 GAP = 64
 #: Bytes of test items that go to the executors at once; more are searched in blocks.
 BLOCK = 16 << 20
 
-_INDEX = "segment long, docs array<long>, n_words array<long>, first array<long>, terms array<long>, ends array<long>, positions array<int>"
+# terms (unsigned 64 bits), where each one's positions end, and the positions as differences from the one before (32 bits) are kept as bytes
+_INDEX = "segment long, docs array<long>, n_words array<long>, first array<long>, terms binary, ends binary, positions binary"
 _FOUND = "segment long, number int, doc_id long, n_words long, n_hit long, matches array<struct<item_id:string,kind:string,start:long,length:long>>"
 _MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
@@ -55,7 +56,8 @@ def _segments(segment: int):
                 first = np.concatenate([[0], np.cumsum(n + GAP)[:-1]])
                 terms, ends, pos = _postings(tv.word_hashes(part, starts, ends), np.arange(len(row)) + row * GAP)
                 ids = batch.column(0).slice(lo, hi - lo).cast(pa.int64())
-                columns = [pa.array([number], pa.int64()), *[one(x) for x in (ids, n, first, terms.view(np.int64), ends, pos)]]
+                raws = [terms.astype("<u8"), ends.astype("<i4"), np.diff(pos, prepend=np.int32(0)).astype("<i4")]
+                columns = [pa.array([number], pa.int64()), *[one(x) for x in (ids, n, first)], *[pa.array([x.tobytes()], pa.binary()) for x in raws]]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _INDEX.split(", ")])
                 number += 1
 
@@ -69,7 +71,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     have each document's id, number of words and first position.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return settle(map_arrow(texts, _segments(segment), _INDEX))
+    return settle(map_arrow(texts, _segments(segment), _INDEX), compression="zstd", **{"parquet.block.size.row.check.min": 8})
 
 
 class Windows(NamedTuple):
@@ -171,9 +173,10 @@ def _finder(words: Windows, slop: int | None):
         names = pa.array(words.names, pa.string())
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, n, first, terms, ends, pos = (batch.column(i).slice(r, 1).flatten() for i in range(1, 7))
-                n, first, ends, pos = n.to_numpy(), first.to_numpy(), ends.to_numpy(), pos.to_numpy().astype(np.int64)
-                w, kind, at, size = _hits(words, slop, terms.to_numpy().view(np.uint64), np.append(0, ends)[:-1], ends, pos)
+                ids, n, first = (batch.column(i).slice(r, 1).flatten() for i in range(1, 4))
+                n, first = n.to_numpy(), first.to_numpy()
+                terms, ends, pos = (np.frombuffer(batch.column(i)[r].as_buffer(), kind) for i, kind in ((4, "<u8"), (5, "<i4"), (6, "<i4")))
+                w, kind, at, size = _hits(words, slop, terms, np.append(0, ends)[:-1], ends, np.cumsum(pos, dtype=np.int64))
                 doc = np.searchsorted(first, at, "right") - 1
                 start = at - first[doc]
                 exact = kind == 0

@@ -27,11 +27,11 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to a table in the shared folder and read from there: its lineage ends, and lost executors cost nothing."""
+def settle(df: DataFrame, **options) -> DataFrame:
+    """``df`` written (with ``options``) to a table in the shared folder and read from there: its lineage ends, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
