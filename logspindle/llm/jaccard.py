@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ BROADCAST = 1 << 20
 #: Keys of more rows than this, and than a 2**20th of all rows, are joined by broadcast: at most 2**20 keys.
 HOT = 64
 #: Bytes of text handled at once (a longer document alone).
-RUN = 2 << 20
+RUN = 1 << 19
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -145,17 +146,21 @@ def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[order].view(np.int64)))
 
 
-def _map(docs: DataFrame, schema: str, of, last=None) -> DataFrame:
-    """Rows of (doc_id, text) through ``of(ids, row, hashes, sizes)``, a run of documents at a time; then what ``last()`` gives."""
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, rows and hashes of shingles, and set sizes of (id, text) rows, a run of documents at a time."""
+    raw, off = tv.text_buffer(batch.column(1))
+    for lo, hi in tv.runs(off, RUN):
+        row, g = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        yield batch.column(0).slice(lo, hi - lo), row, g, np.bincount(row, minlength=hi - lo)
+
+
+def _map(docs: DataFrame, schema: str, of) -> DataFrame:
+    """Rows of (doc_id, text) through ``of(ids, row, hashes, sizes)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = tv.text_buffer(batch.column(1))
-            for lo, hi in tv.runs(off, RUN):
-                row, g = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                yield of(batch.column(0).slice(lo, hi - lo), row, g, np.bincount(row, minlength=hi - lo))
-        if last:
-            yield last()
+            for part in _each(batch):
+                yield of(*part)
 
     return map_arrow(docs, run, schema)
 
@@ -171,24 +176,24 @@ def _fingerprint(row: np.ndarray, g: np.ndarray, rows: int) -> list[pa.Array]:
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set (h1, h2) and the set's keys.
 
-    Rows with n_shingles -1 hold counts instead: of the partition's shingles by place, in ``keys``, for the slice h1.
+    Rows with n_shingles -1 have counts instead: those of the partition's shingles in the slice h1 of the places, packed by zstandard.
     """
-    names = ["doc_id", "n_shingles", "h1", "h2", "keys"]
-    counts = np.zeros(PLACES, np.int64)
-
-    def of(ids, row, g, n):
-        counts[:] += np.bincount(g & np.uint64(PLACES - 1), minlength=PLACES)
-        own, keys = _keys(row, g, n, percent)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *_fingerprint(row, g, len(n)), _lists(own, keys, len(n))], names)
+    names = ["doc_id", "n_shingles", "h1", "h2", "keys", "counts"]
 
-    def last():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for ids, row, g, n in _each(batch):
+                np.add.at(counts, g & np.uint64(PLACES - 1), 1)
+                own, keys = _keys(row, g, n, percent)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *_fingerprint(row, g, len(n)), _lists(own, keys, len(n)), pa.nulls(len(n), pa.binary())], names)
         slices = counts.reshape(-1, SLICE)
         used = np.flatnonzero(slices.any(1))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * SLICE, pa.int32()), pa.array(slices[used].ravel()))
-        counts[:] = 0
-        return pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(np.full(len(used), -1)), pa.array(used), pa.array(np.zeros(len(used), np.int64)), lists], names)
+        packed = [zstandard.compress(x.astype("<u4" if x.max() < 1 << 32 else "<u8").tobytes(), 1) for x in slices[used]]
+        none = pa.array(np.zeros(len(used), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(np.full(len(used), -1)), pa.array(used), none, pa.nulls(len(used), pa.list_(pa.int64())), pa.array(packed, pa.binary())], names)
 
-    return _map(docs, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>", of, last)
+    return map_arrow(docs, run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, counts binary")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -234,13 +239,13 @@ def levels(base: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                at = batch.column(0)[i].as_py()
-                sums[at] = sums.get(at, 0) + batch.column(1).slice(i, 1).flatten().to_numpy()
+                at, raw = batch.column(0)[i].as_py(), zstandard.decompress(batch.column(1)[i].as_py())
+                sums[at] = sums.get(at, 0) + np.frombuffer(raw, "<u4" if len(raw) == 4 * SLICE else "<u8").astype(np.int64)
         rows = [np.floor(4 * np.log2(n + 1.0)).astype(np.uint8).tobytes() for n in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(rows, pa.binary())], ["slice", "level"])
 
     out = np.zeros((PLACES // SLICE, SLICE), np.uint8)
-    for r in map_arrow(base.where("n_shingles = -1").select("h1", "keys").repartition("h1"), run, "slice long, level binary").collect():  # a megabyte
+    for r in map_arrow(base.where("n_shingles = -1").select("h1", "counts").repartition("h1"), run, "slice long, level binary").collect():  # a megabyte
         out[r["slice"]] = np.frombuffer(r["level"], np.uint8)
     return out.ravel()
 
@@ -285,10 +290,9 @@ def cross_pairs(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = rows.select("id", "component", "n", left.alias("left"), "token", early.alias("early"))
     first = F.min(F.when(F.col("early"), F.col("n")))
     span = [F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), first.alias("first")]
-    # few rare shingles lie in several components: what they are is broadcast where it is small
+    # few rare shingles lie in several components: they go to the tasks where they are few enough
     mixed = settle(rows.groupBy("token").agg(*span).where((F.col("lo") < F.col("hi")) & F.col("first").isNotNull()).select("token", "size"))
-    few = mixed.count() <= BROADCAST
-    rows = (rows.join(F.broadcast(mixed), "token") if few else _join_hot(rows, mixed, "token", "size")).drop("size")
+    rows = _with_tokens(held, mixed, percent) if mixed.count() <= BROADCAST else _join_hot(rows, mixed, "token", "size").drop("size")
     rows = settle(rows.withColumn("reach", F.floor(F.col("left") * (100 + percent) / percent).cast("long") - F.col("n")))
     # a set whose partners would all be smaller than the token's smallest set, or out of the others' reach, has none by this token
     ends = settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("reach").alias("far"), first.alias("first")))
@@ -338,6 +342,24 @@ def cross_pairs(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     return near_sketches(map_arrow(groups, run, "a long, b long, total long").distinct(), held, percent)
 
 
+def _with_tokens(held: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``held``'s rows for each token (id, component, n, left, token, early) that ``tokens`` (8 MB at most) has."""
+    known = np.sort(tokens.select("token").toArrow().column(0).to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(3), batch.column(2).to_numpy()
+            size = lists.value_lengths().to_numpy()
+            row, flat = np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy()
+            rank = np.arange(len(flat)) - (np.cumsum(size) - size)[row]
+            hit = known.take(np.searchsorted(known, flat), mode="clip") == flat if len(known) else np.zeros(len(flat), bool)
+            row, rank, n = row[hit], rank[hit], n[row[hit]]
+            early = rank <= n + -(n * 2 * percent) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(n), pa.array(n - rank), pa.array(flat[hit]), pa.array(early)], ["id", "component", "n", "left", "token", "early"])
+
+    return map_arrow(held.select("id", "component", "n", "tokens"), run, "id long, component long, n long, left long, token long, early boolean")
+
+
 def near_sketches(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b, total: their sizes together) whose parity sketches are as near as a linked pair's."""
     bits = lambda x: held.select(F.col("id").alias(x), F.col("bits").alias("bits_" + x))
@@ -412,7 +434,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = settle(sketches(rows, percent))
-    own = base.where("n_shingles >= 0").drop("keys")
+    own = base.where("n_shingles >= 0").drop("keys", "counts")
     full = base.where("n_shingles > 0")
     reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"))
     reps = settle(reps.withColumn("id", F.monotonically_increasing_id()))
