@@ -25,7 +25,7 @@ END = 1
 #: Penalties, in tokens of padding: for a cut inside a document at a sentence's end, for one anywhere else, and for each sequence.
 SENTENCE_CUT, HARD_CUT, SEQUENCE = 4, 32, 16
 #: Bytes of text that are encoded and planned together (a longer document makes them more).
-RUN = 4 << 20
+RUN = 2 << 20
 #: Words whose ids a worker keeps: beyond these, the half that was used last stays.
 CACHE = 400_000
 #: Words of more tokens aren't kept.
