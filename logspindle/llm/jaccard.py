@@ -389,18 +389,24 @@ def verify(pairs: DataFrame, hashed: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(a, "a").join(b, "b").where(both.cast("long") * 100 >= union.cast("long") * percent).select("a", "b")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` small rows, stored in as few files as these need."""
+    return settle(df.coalesce(max(1, rows >> 18)))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """id and component (the smallest id reachable) of every end of ``edges`` (a, b), by large and small stars."""
-    now = settle(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """id and component (the smallest id reachable) of every end of the stored ``edges`` (a, b), by large and small stars; stored."""
+    n = edges.count()
+    now = _few(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"))
+        low = _few(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"), n)
         large = _join_hot(both, low, "u", "size").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("x"), "m"), F.struct(F.col("v").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.m").alias("v"))
-        before, now = now, settle(small.where(F.col("u") != F.col("v")).distinct())
+        before, now = now, _few(small.where(F.col("u") != F.col("v")).distinct(), n)
         discard(before)
         discard(low)
         n, s = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
@@ -408,7 +414,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = (n, s)
     own = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return own.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return _few(own.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), 2 * n)
 
 
 def _texts_of(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -452,11 +458,11 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     # first each id with its smallest partner, then what that hasn't joined
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
     edges = settle(verify(first, held, percent))
-    joined = settle(components(edges))
+    joined = components(edges)
     comp = lambda x: joined.select(F.col("id").alias(x), F.col("component").alias("c" + x))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     edges = settle(edges.unionByName(verify(apart, held, percent)))
-    found = settle(components(edges))
+    found = components(edges)
     discard(held)
     # all pairs of sets from different components that can link
     mine = settle(names.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -467,7 +473,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     if not more.isEmpty():
         last = settle(verify(more, hashed(more), percent))
         if not last.isEmpty():
-            found = settle(components(edges.unionByName(last)))
+            found = components(settle(edges.unionByName(last)))
     named = names.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     out = own.join(settle(named.join(lowest, "component").select("h1", "h2", "component_id")), ["h1", "h2"], "left")
