@@ -11,10 +11,17 @@ _CUT = "\u0001\u0002"
 def regex_groups(text: Column, pattern: str, groups: int) -> Column:
     """The groups of ``pattern``, which has to match the whole of ``text``, as an array from one regex pass; null without a match.
 
-    Groups that took no part are empty strings. ``.`` and ``$`` should be written with ``(?d)`` and ``\\z``.
+    Groups that took no part are empty strings. ``.`` and ``$`` should be written with ``(?d)`` and ``\\z``. Whoever uses the array
+    more than once should ``bind`` it.
     """
-    cut = F.regexp_replace(text, pattern, _CUT.join(f"${i}" for i in range(1, groups + 1)))
-    return F.when(text.rlike(pattern), F.split(cut, _CUT, groups))
+    cut = F.split(F.regexp_replace(text, pattern, _CUT.join(f"${i}" for i in range(1, groups + 1))), _CUT, groups)
+    # text without a match stays whole, so the number of parts tells; only text that has the mark itself is matched again
+    return F.get(F.filter(F.array(cut), lambda g: (F.size(g) == groups) & (~text.contains(_CUT) | text.rlike(pattern))), F.lit(0))
+
+
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it: Catalyst copies a column wherever it stands."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def blank_null(c: Column) -> Column:
@@ -27,8 +34,16 @@ def hyphen_null(c: Column) -> Column:
 
 def last_wins(entries: Column) -> Column:
     """A map from (key, value) structs; of equal keys the last counts."""
-    later = lambda i: F.slice(entries, i + F.lit(2), F.size(entries))
-    return F.map_from_entries(F.filter(entries, lambda x, i: ~F.exists(later(i), lambda y: y["key"] == x["key"])))
+
+    def sorted_(e: Column) -> Column:  # places by key, the last of equal keys first
+        places = F.array_sort(F.transform(e, lambda x, i: F.struct(x["key"].alias("key"), (-i).alias("at"))))
+        first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"]))
+        return bind(places, lambda s: F.map_from_entries(F.transform(first(s), lambda x: F.get(e, -x["at"]))))
+
+    def made(e: Column) -> Column:
+        return F.when(F.size(F.array_distinct(F.transform(e, lambda x: x["key"]))) == F.size(e), F.map_from_entries(e)).otherwise(sorted_(e))
+
+    return bind(entries, made)
 
 
 def rfc3339(text: Column) -> Column:
@@ -67,6 +82,24 @@ def ipv4_number(text: Column) -> Column:
     return F.when(ok, p[0].cast("long") * 16777216 + p[1].cast("long") * 65536 + p[2].cast("long") * 256 + p[3].cast("long"))
 
 
+def ipv6_hex(text: Column) -> Column:
+    """The address as 32 hexadecimal digits, which sort like addresses; null if the text is none. A zone is left out."""
+
+    def full(s: Column) -> Column:
+        halves = lambda h: F.filter(F.split(h, ":"), lambda x: x != "")
+        wide = lambda a: F.array_join(F.transform(a, lambda x: F.lpad(x, 4, "0")), "")
+        left, right = halves(F.substring_index(s, "::", 1)), F.when(s.contains("::"), halves(F.substring_index(s, "::", -1))).otherwise(F.array().cast("array<string>"))
+        missing = 8 - F.size(left) - F.size(right)
+        good = s.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?\z") & F.when(s.contains("::"), missing > 0).otherwise(missing == 0)
+        return F.when(good, F.concat(wide(left), F.repeat(F.lit("0000"), missing), wide(right)))
+
+    bare = F.regexp_replace(F.lower(text), r"%[^%]+\z", "")
+    tail = F.regexp_extract(bare, r":(\d+\.\d+\.\d+\.\d+)\z", 1)  # the last 32 bits written as IPv4
+    n = ipv4_number(tail)
+    groups = F.concat(F.regexp_replace(bare, r"\d+\.\d+\.\d+\.\d+\z", ""), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535))))
+    return bind(F.when(tail == "", bare).otherwise(groups), full)
+
+
 def sanitize_segment(key: Column) -> Column:
     """A path segment: lower case, [a-z0-9_] only, 64 characters at most, never empty."""
     clean = F.left(F.regexp_replace(F.lower(key), "[^a-z0-9_]", "_"), F.lit(64))

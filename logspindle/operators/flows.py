@@ -10,12 +10,16 @@ import ipaddress
 import json
 import struct
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import be_uint
 from ..ship import map_arrow
+from .netflow5 import decode_netflow_v5
 
 # Information elements, name and type by id.
 ELEMENTS = {
@@ -171,17 +175,23 @@ def split_sets(datagrams: DataFrame) -> DataFrame:
     return map_arrow(datagrams.select("payload", "exporter", "seq"), run, _SETS)
 
 
-def with_templates(sets: DataFrame) -> DataFrame:
-    """Data sets with the fields of the latest template before them; fields is null where none was seen."""
+def with_templates(sets: DataFrame, *, most: int = MAX_TEMPLATES) -> DataFrame:
+    """Data sets with the fields of the latest template before them; fields is null where none was seen.
+
+    Of each exporter the ``most`` templates seen first count; later ones are left out, as a full cache does. A null exporter is an exporter.
+    """
     key = ["exporter", "domain", "template_id"]
     order = F.struct("seq", "part")
     w = Window.partitionBy(*key).orderBy("seq", "part")
     seen = sets.where(F.col("kind") == "template").select(*key, "seq", "part", "fields").withColumn("__before", F.lag("fields").over(w))
+    first = seen.groupBy(*key).agg(F.min(order).alias("first")).withColumn("place", F.row_number().over(Window.partitionBy("exporter").orderBy("first", *key[1:])))
+    full = first.where(F.col("place") > most).select(*[F.col(k).alias(f"x_{k}") for k in key])
+    seen = seen.join(full, reduce(and_, (F.col(k).eqNullSafe(F.col(f"x_{k}")) for k in key)), "left_anti")
     changed = seen.where(F.col("__before").isNull() | (F.col("__before") != F.col("fields")))  # repeats change nothing
     valid = changed.select(*[F.col(k).alias(f"t_{k}") for k in key], order.alias("since"), F.lead(order).over(w).alias("until"), F.col("fields").alias("t_fields"))
     data = sets.where(F.col("kind") == "data").drop("fields")
     at = F.struct(F.col("seq"), F.col("part"))
-    same = [F.col(k) == F.col(f"t_{k}") for k in key]
+    same = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in key]
     fits = same[0] & same[1] & same[2] & (at > F.col("since")) & (F.col("until").isNull() | (at < F.col("until")))
     return data.join(valid, fits, "left").withColumn("fields", F.col("t_fields")).drop("since", "until", "t_fields", *[f"t_{k}" for k in key])
 
@@ -234,6 +244,13 @@ def decode_flows(datagrams: DataFrame) -> DataFrame:
     return finish(map_arrow(source, run, FLOW_SCHEMA))
 
 
+def decode_datagrams(datagrams: DataFrame) -> DataFrame:
+    """Flow rows of datagrams (payload, exporter, seq) of any version: NetFlow v5, v9 and IPFIX by their first two bytes; others give none."""
+    version = be_uint(F.col("payload"), 0, 2)
+    fixed = decode_netflow_v5(datagrams.where(version == 5)).withColumn("part", F.lit(0))
+    return decode_flows(datagrams.where(version.isin(9, 10))).unionByName(fixed)
+
+
 def missing_templates(datagrams: DataFrame) -> DataFrame:
     """exporter, domain, template_id, n_sets of data sets without a template."""
     none = with_templates(split_sets(datagrams)).where(F.col("fields").isNull())

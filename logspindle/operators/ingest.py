@@ -31,8 +31,10 @@ def _at(received_at: Column | None) -> Column:
 
 
 def epoch_time(seconds: Column) -> Column:
-    """Milliseconds count."""
-    return F.timestamp_millis(F.floor(seconds * 1000).cast("long"))
+    """To the microsecond; null beyond the years 1 to 9999."""
+    whole = F.floor(seconds)
+    micros = whole.cast("long") * 1_000_000 + F.floor((seconds - whole) * 1_000_000).cast("long")
+    return F.when(seconds.between(-62_135_596_800, 253_402_300_799), F.timestamp_micros(micros))
 
 
 def hec_events(bodies: DataFrame, *, received_at: Column | None = None) -> DataFrame:
@@ -172,10 +174,39 @@ def from_protobuf(data: bytes, message: str = "request") -> dict:
     return out
 
 
+_BAD = (ValueError, IndexError, KeyError, AttributeError, TypeError)
+
+
+def _decoded(body: bytes | None, kind: str | None) -> list:
+    """The records of a body; an error if it is malformed, none if its kind isn't known."""
+    kind = (kind or "").split(";")[0].strip().lower()
+    if kind not in ("application/json", "application/x-protobuf"):
+        return []
+    return list(otlp_records(json.loads(body) if kind == "application/json" else from_protobuf(body or b"")))
+
+
+def otlp_rejected(bodies: DataFrame) -> DataFrame:
+    """body_id and status of the bodies that ``otlp_logs`` doesn't read: 415 for an unknown content type, 400 for a malformed body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for body_id, body, kind in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                try:
+                    _decoded(body, kind)
+                except _BAD:
+                    bad.append(body_id)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64()), pa.array([400] * len(bad), pa.int32())], ["body_id", "status"])
+
+    known = F.coalesce(F.lower(F.trim(F.substring_index("content_type", ";", 1))).isin("application/json", "application/x-protobuf"), F.lit(False))
+    odd = bodies.where(~known).select(F.col("body_id").cast("long"), F.lit(415).alias("status"))
+    return odd.unionByName(map_arrow(bodies.where(known).select(F.col("body_id").cast("long"), F.col("body").cast("binary"), "content_type"), run, "body_id long, status int"))
+
+
 def otlp_logs(bodies: DataFrame, *, received_at: Column | None = None) -> DataFrame:
     """Rows from (body_id, body, content_type, source_host); a body that can't be decoded gives none.
 
-    ``application/json`` bodies are read as JSON, all others as protobuf.
+    ``application/json`` and ``application/x-protobuf`` bodies are read; bodies of other kinds, or of none, are not (``otlp_rejected``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +214,8 @@ def otlp_logs(bodies: DataFrame, *, received_at: Column | None = None) -> DataFr
             rows = []
             for body_id, body, kind, host in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 try:
-                    request = json.loads(body) if "json" in (kind or "") else from_protobuf(body or b"")
-                    got = list(otlp_records(request))
-                except (ValueError, IndexError, KeyError, AttributeError, TypeError):
+                    got = _decoded(body, kind)
+                except _BAD:
                     continue
                 rows += [(body_id, i, host, None if t is None else t // 1000, json.dumps(f, ensure_ascii=False, sort_keys=True)) for i, (t, f) in enumerate(got)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5

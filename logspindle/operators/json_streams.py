@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import rfc3339_text, sanitize_segment
+from ..functions.expr import rfc3339_text
 
 _COMMON = ["ts:f64", "uid:str", "id.orig_h:str", "id.orig_p:u16", "id.resp_h:str", "id.resp_p:u16"]
 # Keys and types of the typed tables; columns have _ for the keys' dots.
@@ -43,10 +43,17 @@ def parse_lines(lines: DataFrame, route_key: str, col: str = "value", *, max_byt
     return out.withColumn("route", F.coalesce(typed(F.col("doc"), route_key, "str"), F.lit("unknown")))
 
 
+def rejected_lines(lines: DataFrame, col: str = "value", *, max_bytes: int = 16 << 20) -> DataFrame:
+    """The lines that ``parse_lines`` leaves out, with reason: ``oversize`` or ``malformed``. Blank lines are neither."""
+    reason = F.when(F.octet_length(col) > max_bytes, "oversize").when(F.try_parse_json(col).isNull(), "malformed")
+    return lines.where(F.trim(col) != "").withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def zeek_table(parsed: DataFrame, log_path: str) -> DataFrame:
-    """The rows of one typed table. What has no column, and what has the wrong type for it, goes to ``_extra`` as JSON."""
+    """The rows of one typed table: those with exactly that path. A path that only becomes the table's name when it is cleaned
+    (``Conn``) is for the envelope. What has no column, and what has the wrong type for it, goes to ``_extra`` as JSON."""
     fields = [f.split(":") for f in TABLES[log_path]]
-    rows = parsed.where(sanitize_segment(F.col("route")) == log_path)
+    rows = parsed.where(F.col("route") == log_path)
     staged = rows.withColumns({k.replace(".", "_"): typed(F.col("doc"), k, kind) for k, kind in fields})
     whole = F.try_variant_get("doc", "$", "map<string,variant>")
     taken = F.create_map(*[x for k, _ in fields for x in (F.lit(k), F.col(k.replace(".", "_")).isNotNull())])
@@ -57,7 +64,7 @@ def zeek_table(parsed: DataFrame, log_path: str) -> DataFrame:
 def zeek_envelope(parsed: DataFrame, *, ingest_time: Column | None = None, col: str = "value") -> DataFrame:
     """The rows of all other streams, with the whole line as payload."""
     at = ingest_time if ingest_time is not None else F.current_timestamp()
-    rows = parsed.where(~sanitize_segment(F.col("route")).isin(list(TABLES)))
+    rows = parsed.where(~F.col("route").isin(list(TABLES)))
     common = [typed(F.col("doc"), *f.split(":")).alias(f.split(":")[0].replace(".", "_")) for f in _COMMON]
     return rows.select(*common, F.col("route").alias("log_path"), rfc3339_text(at).alias("ingest_time"), F.col(col).alias("payload"))
 

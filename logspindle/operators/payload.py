@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import blank_null, hyphen_null, last_wins, regex_groups
+from ..functions.expr import bind, blank_null, hyphen_null, last_wins, regex_groups
 from .syslog import parse_dns
 
 _PART = r"((?:\\.|[^|\\])*)"
@@ -30,17 +30,20 @@ def cef_extensions(text: Column) -> Column:
     """key=value pairs; a value goes on to the next ``key=`` token."""
     marked = F.regexp_replace(F.trim(text), r"([A-Za-z0-9_]+)=|([^ ]+)", "\u0001$1\u0002$2")
     parts = F.filter(F.split(F.replace(marked, F.lit("\u0001\u0002"), F.lit("")), "\u0001"), lambda p: p.contains("\u0002"))
-    value = lambda p: F.regexp_replace(F.rtrim(F.substr(p, F.instr(p, "\u0002") + 1)), r"\\([|\\=])", "$1")
+    whole = lambda p: F.rtrim(F.substr(p, F.instr(p, "\u0002") + 1))
+    value = lambda p: F.when(p.contains("\\"), F.regexp_replace(whole(p), r"\\([|\\=])", "$1")).otherwise(whole(p))
     return last_wins(F.transform(parts, lambda p: F.struct(F.substring_index(p, "\u0002", 1).alias("key"), value(p).alias("value"))))
 
 
 def cef(message: Column) -> Column:
-    g = regex_groups(message, CEF, 8)
-    plain = lambda c: F.regexp_replace(c, r"\\([|\\])", "$1")
-    version = F.when(g[0].rlike(r"^\+?\d+\z"), F.try_to_number(F.regexp_replace(g[0], r"^\+", ""), F.lit("99999")).cast("int"))
     names = ["device_vendor", "device_product", "device_version", "signature_id", "name", "severity"]
-    made = F.struct(version.alias("version"), *[plain(g[i + 1]).alias(n) for i, n in enumerate(names)], cef_extensions(g[7]).alias("extensions"))
-    return F.when(message.startswith("CEF:") & version.between(0, 255), made)
+
+    def made(g: Column) -> Column:
+        plain = lambda c: F.when(c.contains("\\"), F.regexp_replace(c, r"\\([|\\])", "$1")).otherwise(c)
+        version = F.regexp_extract(g[0], r"^\+?0*(\d{1,3})\z", 1).try_cast("int")
+        return F.when(version.between(0, 255), F.struct(version.alias("version"), *[plain(g[i + 1]).alias(n) for i, n in enumerate(names)], cef_extensions(g[7]).alias("extensions")))
+
+    return F.when(message.startswith("CEF:"), bind(regex_groups(message, CEF, 8), made))
 
 
 def _delimiter(spec: Column) -> Column:
@@ -57,7 +60,10 @@ def leef_attributes(text: Column, delimiter: Column) -> Column:
 
 
 def leef(message: Column) -> Column:
-    p = F.split(F.substr(message, F.lit(6)), r"\|", 7)
+    return F.when(message.startswith("LEEF:"), bind(F.split(F.substr(message, F.lit(6)), r"\|", 7), _leef))
+
+
+def _leef(p: Column) -> Column:
     at = lambda i: F.try_element_at(p, F.lit(i + 1))
     six, seven = F.coalesce(at(5), F.lit("")), at(6)
     two = at(0) == "2.0"
@@ -67,34 +73,44 @@ def leef(message: Column) -> Column:
     blob = F.when(two, F.when(seven.isNotNull(), seven).when((six == "") | hexed, F.lit("")).otherwise(F.substr(six, F.lit(2)))).otherwise(six)
     names = ["leef_version", "vendor", "product", "version", "event_id"]
     made = F.struct(*[at(i).alias(n) for i, n in enumerate(names)], delimiter.alias("delimiter"), leef_attributes(blob, F.coalesce(delimiter, F.lit("\t"))).alias("attributes"))
-    return F.when(message.startswith("LEEF:") & (F.size(p) >= 5), made)
+    return F.when(F.size(p) >= 5, made)
 
 
 def auditd(message: Column) -> Column:
     """The pairs end at the first token without ``=``."""
-    g = regex_groups(message, AUDITD, 3)
     pair = r'([^= ]*)=("[^"]*"?|(?!")[^ ]*)'
-    good = F.regexp_extract(g[2], rf"^(?: *{pair})*+", 0)
-    keys, values = (F.regexp_extract_all(good, F.lit(pair), F.lit(i)) for i in (1, 2))
-    bare = F.transform(values, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.substr(v, F.lit(2)), '"\\z', "")).otherwise(v))
-    return F.when(message.startswith("type=") & g.isNotNull(), F.struct(g[0].alias("record_type"), g[1].alias("audit_id"), last_wins(_entries(keys, bare)).alias("fields")))
+
+    def fields(good: Column) -> Column:
+        keys, values = (F.regexp_extract_all(good, F.lit(pair), F.lit(i)) for i in (1, 2))
+        bare = F.transform(values, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.substr(v, F.lit(2)), '"\\z', "")).otherwise(v))
+        return last_wins(_entries(keys, bare))
+
+    made = lambda g: F.when(g.isNotNull(), F.struct(g[0].alias("record_type"), g[1].alias("audit_id"), bind(F.regexp_extract(g[2], rf"^(?: *{pair})*+", 0), fields).alias("fields")))
+    return F.when(message.startswith("type="), bind(regex_groups(message, AUDITD, 3), made))
 
 
 def dhcp(message: Column) -> Column:
     g = F.coalesce(*[regex_groups(message, p, 5) for p in (DHCP_ON, DHCP_FROM, DHCP_DISCOVER)])
     names = ["message_type", "ip", "mac", "hostname", "interface"]
-    return F.when(message.startswith("DHCP") & g.isNotNull(), F.struct(*[blank_null(g[i]).alias(n) for i, n in enumerate(names)]))
+    made = lambda g: F.when(g.isNotNull(), F.struct(*[blank_null(g[i]).alias(n) for i, n in enumerate(names)]))
+    return F.when(message.startswith("DHCP"), bind(g, made))
 
 
 def radius(message: Column) -> Column:
-    ok, bad = regex_groups(message, RADIUS_OK, 5), regex_groups(message, RADIUS_FAIL, 5)
-    g = F.coalesce(ok, bad)
-    fields = [blank_null(g[i]).alias(n) for i, n in enumerate(["method", "username", "client", "port", "client_ip"])]
-    return F.when(message.startswith("Login ") & g.isNotNull(), F.struct(F.when(ok.isNotNull(), "ok").otherwise("fail").alias("outcome"), *fields))
+    names = ["method", "username", "client", "port", "client_ip"]
+
+    def made(outcome: str):
+        return lambda g: F.when(g.isNotNull(), F.struct(F.lit(outcome).alias("outcome"), *[blank_null(g[i]).alias(n) for i, n in enumerate(names)]))
+
+    ok, bad = bind(regex_groups(message, RADIUS_OK, 5), made("ok")), bind(regex_groups(message, RADIUS_FAIL, 5), made("fail"))
+    return F.when(message.startswith("Login OK"), ok).when(message.startswith("Login incorrect"), bad)
 
 
 def web_access(message: Column) -> Column:
-    g = regex_groups(message, WEB, 11)
+    return bind(regex_groups(message, WEB, 11), _web)
+
+
+def _web(g: Column) -> Column:
     number = lambda c: F.when(c.rlike(r"^\d{1,18}\z"), c.cast("long"))
     made = F.struct(
         g[0].alias("client_ip"), g[1].alias("ident"), hyphen_null(g[2]).alias("authuser"), g[3].alias("timestamp"), g[4].alias("method"), g[5].alias("path"), g[6].alias("protocol"),
@@ -121,9 +137,12 @@ def dispatch(messages: DataFrame, col: str = "message", *, keep_parts: bool = Fa
     kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, c in reversed(list(parts.items())):
         kind, text = F.when(c.isNotNull(), name).otherwise(kind), F.when(c.isNotNull(), F.to_json(c)).otherwise(text)
-    out = out.withColumn("payload_type", kind).withColumn("parsed", text)
     named = [c for c in messages.columns if c not in ("payload_type", "parsed")]
-    return out.select(*named, "payload_type", "parsed", *([c.alias(n) for n, c in parts.items()] if keep_parts else []))
+    kept = [c.alias(n) for n, c in parts.items()] if keep_parts else []
+    # generated columns keep later filters from being pushed down, which would copy every parser into their conditions
+    held = F.struct(kind.alias("payload_type"), text.alias("parsed"), *kept)
+    out = out.select(*named, F.explode_outer(F.array(held)).alias("__held"))
+    return out.select(*named, *[F.col(f"__held.{c}") for c in ("payload_type", "parsed", *(parts if keep_parts else ()))])
 
 
 def structured_records(parsed: DataFrame, received_at: Column | None = None) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import ipv4_number, xml_escape
+from ..functions.expr import bind, ipv4_number, ipv6_hex, xml_escape
 
 OVERFLOW = "_overflow"
 
@@ -39,32 +41,22 @@ def with_date(rows: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def allowed(ip: Column, networks: list[str]) -> Column:
-    """Whether the address lies in one of ``networks`` (none: all do). Bad entries raise an error. IPv6 is compared in full form."""
+    """Whether the address lies in one of ``networks`` (none: all do). Bad entries raise an error. IPv6 is compared as 32 digits."""
     if not networks:
         return F.lit(True)
     nets = [ipaddress.ip_network(n, strict=False) for n in networks]
-    number, out = ipv4_number(ip), F.lit(False)
-    for n in nets:
-        if n.version == 4:
-            out = out | F.coalesce(number.between(int(n.network_address), int(n.broadcast_address)), F.lit(False))
-    if any(n.version == 6 for n in nets):
-        texts = [n for n in nets if n.version == 6]
-
-        @F.pandas_udf("boolean")
-        def in_v6(s):
-            def one(x):
-                try:
-                    a = ipaddress.ip_address(x)
-                except ValueError:
-                    return False
-                return a.version == 6 and any(a in n for n in texts)
-
-            return s.map(one)
-
-        out = out | F.coalesce(in_v6(ip), F.lit(False))
+    out = F.lit(False)
+    for version, value, form in ((4, ipv4_number(ip), int), (6, ipv6_hex(ip), lambda a: f"{int(a):032x}")):
+        mine = [n for n in nets if n.version == version]
+        if mine:
+            out = out | bind(value, partial(_any, [(form(n.network_address), form(n.broadcast_address)) for n in mine]))
     return out
 
 
+def _any(ranges: list, value: Column) -> Column:
+    return F.coalesce(reduce(or_, (value.between(*r) for r in ranges)), F.lit(False))
+
+
 def rfc5424_line(level: Column, received_at: Column, source_host: Column, event_id: Column, raw_xml: Column) -> Column:
     """An event as a syslog line; facility 16, severity by level (6 for unparsed events)."""
     severity = F.when(level == "Critical", 2).when(level == "Error", 3).when(level == "Warning", 4).when(level == "Verbose", 7).otherwise(6)

@@ -44,7 +44,12 @@ def latest(entries: DataFrame, n: int, ts_col: str = "timestamp", *ties: str) ->
     return entries.orderBy(F.desc(ts_col), *ties).limit(n)
 
 
-def fixed_window_limit(requests: DataFrame, *, key: str = "ip", ts_col: str = "ts", seconds: int = 60, most: int = 30) -> DataFrame:
-    """Adds allowed: whether a request is among the first ``most`` of its key's window of ``seconds`` (calendar windows)."""
-    w = Window.partitionBy(key, F.window(F.col(ts_col).cast("timestamp"), f"{seconds} seconds")).orderBy(ts_col)
+def totals(events: DataFrame, *distinct: str) -> DataFrame:
+    """n_events, and the number of different values of each given column as n_<column>s."""
+    return events.agg(F.count(F.lit(1)).alias("n_events"), *[F.countDistinct(c).alias(f"n_{c}s") for c in distinct])
+
+
+def fixed_window_limit(requests: DataFrame, *, key: str = "ip", ts_col: str = "ts", ties: tuple[str, ...] = (), seconds: int = 60, most: int = 30) -> DataFrame:
+    """Adds allowed: whether a request is among the first ``most`` of its key's window of ``seconds`` (calendar windows); ``ties`` order requests of one time."""
+    w = Window.partitionBy(key, F.window(F.col(ts_col).cast("timestamp"), f"{seconds} seconds")).orderBy(ts_col, *ties)
     return requests.withColumn("allowed", F.row_number().over(w) <= most)

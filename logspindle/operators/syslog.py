@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import blank_null, hyphen_null, last_wins, regex_groups, rfc3339
+from ..functions.expr import bind, blank_null, hyphen_null, last_wins, regex_groups, rfc3339
 
 # Header patterns.
 RFC5424 = r"(?d)^<(\d{1,3})>(\d)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*(.*?)\z"
@@ -24,16 +24,19 @@ def structured_data(rest: Column) -> Column:
     pairs = lambda e: F.zip_with(
         F.regexp_extract_all(e, param, F.lit(1)), F.regexp_extract_all(e, param, F.lit(2)), lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     )
-    named = F.transform(elements, lambda e: F.struct(F.regexp_extract(e, r"^\s*(\S+)", 1).alias("key"), last_wins(pairs(e)).alias("value")))
-    return F.when(rest.startswith("[") & (F.size(elements) > 0), last_wins(named))
+    named = lambda all_: F.transform(all_, lambda e: F.struct(F.regexp_extract(e, r"^\s*(\S+)", 1).alias("key"), last_wins(pairs(e)).alias("value")))
+    return F.when(rest.startswith("["), bind(elements, lambda e: F.when(F.size(e) > 0, last_wins(named(e)))))
 
 
 def timestamp_3164(text: Column, year: Column) -> Column:
     """A time of ``year``; null where the date doesn't exist."""
-    p = regex_groups(text, STAMP, 5)
-    month = F.instr(F.lit(MONTHS), F.lower(p[0]))
     n = lambda c: c.cast("int")
-    return F.when((month % 3 == 1), F.try_make_timestamp(year.cast("int"), ((month + 2) / 3).cast("int"), n(p[1]), n(p[2]), n(p[3]), n(p[4]).cast("decimal(16,6)"), F.lit("UTC")))
+
+    def made(p: Column) -> Column:
+        month = F.instr(F.lit(MONTHS), F.lower(p[0]))
+        return F.when((month % 3 == 1), F.try_make_timestamp(year.cast("int"), ((month + 2) / 3).cast("int"), n(p[1]), n(p[2]), n(p[3]), n(p[4]).cast("decimal(16,6)"), F.lit("UTC")))
+
+    return bind(regex_groups(text, STAMP, 5), made)
 
 
 def parse_syslog(lines: DataFrame, col: str = "value", *, year: Column | int | None = None, strict_rfc: bool = False) -> DataFrame:
@@ -57,7 +60,8 @@ def parse_syslog(lines: DataFrame, col: str = "value", *, year: Column | int | N
         after = F.when(rest.rlike(r"^-(\s|\z)"), F.regexp_replace(rest, r"^-\s*", "")).otherwise(F.substr(rest, F.length(head) + 1))
         message = F.ltrim(after)
     else:
-        sd = structured_data(rest)
+        staged = staged.withColumn("__sd", structured_data(rest))
+        sd = F.col("__sd")
         message = F.when(sd.isNotNull(), F.ltrim(F.regexp_replace(rest, r"(?s)^.*\[[^\]]*[^\]\s][^\]]*\](.*?)\z", "$1"))).otherwise(rest)
     message = F.regexp_replace(message, "^\ufeff", "")
     staged = staged.withColumn("priority", F.coalesce(n[0], o[0]).cast("int"))
@@ -92,7 +96,8 @@ def parse_dns(messages: DataFrame, col: str = "message") -> DataFrame:
     BIND is tried first, then Unbound, then PowerDNS. The pattern may stand anywhere in the message.
     """
     whole = lambda p: r"(?s)^.*?(?:" + p + r").*\z"
-    b, u, p = (regex_groups(F.col(col), whole(x), n) for x, n in ((BIND, 5), (UNBOUND, 4), (POWERDNS, 3)))
+    text = F.col(col)
+    b, u, p = (F.when(text.contains(sign), regex_groups(text, whole(x), n)) for x, n, sign in ((BIND, 5, "query:"), (UNBOUND, 4, "info:"), (POWERDNS, 3, "wants")))
     staged = messages.withColumn("__b", b).withColumn("__u", F.when(F.col("__b").isNull(), u)).withColumn("__p", F.when(F.col("__b").isNull() & F.col("__u").isNull(), p))
     made = lambda g, name, kind, ips, server: F.struct(g[0].alias("client_ip"), name.alias("query_name"), kind.alias("query_type"), F.lit("NOERROR").alias("response_code"), ips.alias("response_ips"), F.lit(None).cast("double").alias("duration_ms"), F.lit(server).alias("server"))
     none = F.array().cast("array<string>")

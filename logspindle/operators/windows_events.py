@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import blank_null, level_name, rfc3339, xml_unescape
@@ -98,18 +97,20 @@ class EventDefinition:
         return cls(int(raw["event_id"]), raw.get("name", ""), raw.get("description", ""), fields, lookups, raw.get("output_format"))
 
 
-def load_definitions(path: str) -> dict[int, EventDefinition]:
-    """A folder of YAML files (by name; of equal ids the last counts; none is an error), or one file with ``event_parsers``."""
+def load_definitions(spark: SparkSession, path: str) -> dict[int, EventDefinition]:
+    """A folder of YAML files (by name; of equal ids the last counts; none is an error), or one file with ``event_parsers``.
+
+    Read by Spark, so the path may lie in any file system that it knows. Definitions are configuration: they come to the driver.
+    """
     import yaml
 
-    p = Path(path)
-    if p.is_dir():
-        files = sorted(f for f in p.iterdir() if f.suffix.lower() in (".yml", ".yaml"))
-        if not files:
-            raise ValueError(f"no event definitions in {path}")
-        raw = [yaml.safe_load(f.read_text()) for f in files]
-    else:
-        raw = list((yaml.safe_load(p.read_text()) or {}).get("event_parsers", {}).values())
+    one = path.lower().endswith((".yml", ".yaml"))
+    files = spark.read.option("pathGlobFilter", "*.{yml,yaml,YML,YAML}").text(path, wholetext=True)
+    rows = sorted((r["path"], r["value"]) for r in files.select(F.col("_metadata.file_path").alias("path"), "value").collect())
+    if not rows:
+        raise ValueError(f"no event definitions in {path}")
+    docs = [yaml.safe_load(text) or {} for _, text in rows]
+    raw = list(docs[0].get("event_parsers", {}).values()) if one and "event_id" not in docs[0] else docs
     return {d.event_id: d for d in map(EventDefinition.of, raw)}
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import flows, ingest, json_streams, netflow5, payload, route, sflow, stats, syslog, windows_events
+from ..sources import network
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -180,7 +181,7 @@ def _event_xml() -> Column:
 @query("""SELECT 'P' || (user_id % 3) AS provider, event_id % 5000 AS event_id, CASE event_id % 6 WHEN 1 THEN 'Critical' WHEN 2 THEN 'Error' WHEN 3 THEN 'Warning' WHEN 4 THEN 'Information' ELSE 'Verbose' END AS level,
   ts AS time_created, 'pc' || user_id AS computer, 'event <' || event_id || '>' AS message FROM events""")
 def wef_event_parse(t):
-    bodies = t("events").groupBy("user_id").agg(F.concat(F.lit("<Envelope><Body><Events>"), F.array_join(F.collect_list(_event_xml()), "\n"), F.lit("</Events></Body></Envelope>")).alias("body"))
+    bodies = t("events").groupBy("user_id", F.floor(ID / 500)).agg(F.concat(F.lit("<Envelope><Body><Events>"), F.array_join(F.collect_list(_event_xml()), "\n"), F.lit("</Events></Body></Envelope>")).alias("body"))
     bodies = bodies.where(windows_events.message_type(F.col("body")) == "Events")
     out = windows_events.extract_fields(windows_events.split_events(bodies))
     return out.select("provider", F.col("event_id").cast("bigint").alias("event_id"), "level", F.col("time_created").cast("timestamp_ntz").alias("time_created"), "computer", "message")
@@ -357,11 +358,7 @@ _MINUTE = "epoch_us(ts) // 60000000"
 @query(f"""SELECT event_type, count(*) AS total_events, count(*) FILTER ({_MINUTE} = m) AS last_minute, count(*) FILTER ({_MINUTE} > m - 5) AS last_five_minutes, count(*) FILTER ({_MINUTE} = m) / 60.0::DOUBLE AS average_per_second_last_minute FROM events, {_AS_OF} GROUP BY 1""")
 def throughput_snapshot(t):
     now = t("events").agg(F.max("ts").alias("now"))
-    events = t("events").join(F.broadcast(now))  # one row
-    minute, current = stats.minute_of(TS), stats.minute_of(F.col("now"))
-    staged = events.select(KIND, (minute == current).alias("one"), (minute > current - 5).alias("five"))
-    out = staged.groupBy("event_type").agg(F.count(F.lit(1)).alias("total_events"), F.count_if("one").alias("last_minute"), F.count_if("five").alias("last_five_minutes"))
-    return out.withColumn("average_per_second_last_minute", (F.col("last_minute") / F.lit(60.0)).cast("double")).orderBy(F.desc("last_minute"), "event_type")
+    return stats.snapshot(t("events").join(F.broadcast(now)), F.col("now"))  # one row
 
 
 @query(f"""SELECT event_type, {_MINUTE} AS minute, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -433,20 +430,228 @@ def latest_entries(t):
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) <= 1 AS allowed FROM events""")
 def rate_limit(t):
-    rows = t("events").withColumn("at", F.struct("ts", "event_id"))
-    w = stats.Window.partitionBy("user_id", F.window(TS.cast("timestamp"), "3600 seconds")).orderBy("at")
-    return rows.select("event_id", (F.row_number().over(w) <= 1).alias("allowed"))
+    return stats.fixed_window_limit(t("events"), key="user_id", ties=("event_id",), seconds=3600, most=1).select("event_id", "allowed")
 
 
-@query("""SELECT * FROM (VALUES ('a', 'unchanged'), ('b', 'changed'), ('c', 'removed'), ('d', 'added')) AS v(key, status)""")
+@query("""SELECT key, CASE key WHEN 'k' THEN 'unchanged' WHEN 'n' THEN CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE 'unchanged' END WHEN 'x' THEN 'removed' ELSE 'added' END AS status, count(*) AS n
+  FROM customer, (VALUES ('k'), ('n'), ('x'), ('y')) AS v(key) GROUP BY 1, 2""")
 def config_diff(t):
-    one = t("region").limit(1).select(json_streams.diff(F.lit('{"a":1,"b":{"x":1},"c":true}'), F.lit('{"a":1,"b":{"x":2},"d":null}')).alias("d"))
-    return one.select(F.explode("d").alias("d")).select("d.key", "d.status")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    old, new = _s('{"k":{"a":', key, '},"n":', nation, ',"x":true}'), _s('{"y":null,"n":', F.when(key % 3 == 0, nation + 1).otherwise(nation), ',"k":{"a":', key, "}}")
+    one = t("customer").select(F.explode(json_streams.diff(old, new)).alias("d"))
+    return one.groupBy("d.key", "d.status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT count(*) AS n_events, count(DISTINCT event_type) AS n_types, count(DISTINCT user_id) AS n_users FROM events""")
 def ingest_totals(t):
-    return t("events").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_type").alias("n_types"), F.countDistinct("user_id").alias("n_users"))
+    return stats.totals(t("events").select(KIND.alias("type"), USER.alias("user")), "type", "user")
+
+
+@query(f"""SELECT event_id % 192 AS priority, 'gw' || user_id AS hostname, CASE WHEN event_id % 3 = 0 THEN 'cef' ELSE 'radius' END AS payload_type, CASE WHEN event_id % 3 = 0 THEN {_IP_SQL} ELSE 'u' || user_id END AS who FROM events WHERE event_id % 3 < 2""")
+def structured_payloads(t):
+    message = F.when(ID % 3 == 0, _CEF).when(ID % 3 == 1, _RADIUS).otherwise(_s("plain ", ID))
+    lines = t("events").withColumn("value", _s("<", ID % 192, ">", _STAMP, " gw", USER, " agent[1]: ", message))
+    out = payload.structured_records(syslog.parse_syslog(lines, year=F.year("ts")), F.lit(None).cast("timestamp"))
+    who = F.coalesce(F.get_json_object("parsed", "$.extensions.src"), F.get_json_object("parsed", "$.username"))
+    return out.select(F.col("priority").cast("bigint").alias("priority"), "hostname", "payload_type", who.alias("who"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'fresh' ELSE 'sub-' || event_id END AS subscription_id, '*[' || event_type || ']' AS query, CASE WHEN event_id % 3 > 0 THEN user_id END AS heartbeat_interval FROM events""")
+def wef_subscription(t):
+    body = _s("<Subscribe>", F.when(ID % 4 == 0, "").otherwise(_s("<SubscriptionId>sub-", ID, "</SubscriptionId>")), "<Query Id='1'>*[", KIND, "]</Query><HeartbeatInterval>", F.when(ID % 3 == 0, "often").otherwise(USER.cast("string")), "</HeartbeatInterval></Subscribe>")
+    return t("events").select("event_id", windows_events.subscription(body, F.lit("fresh")).alias("s")).select("event_id", "s.*")
+
+
+@query("""SELECT CASE event_id % 5 WHEN 0 THEN 'Subscription' WHEN 1 THEN 'Heartbeat' WHEN 2 THEN 'Events' ELSE 'Unknown' END AS kind, CASE event_id % 5 WHEN 1 THEN 'hb' || (user_id % 3) ELSE '' END AS subscription_id, count(*) AS n FROM events GROUP BY 1, 2""")
+def wef_message_kinds(t):
+    body = F.when(ID % 5 == 0, F.lit("<Subscribe><Query/></Subscribe><x>SubscriptionId</x>")).when(ID % 5 == 1, _s("<Heartbeat><SubscriptionId>hb", USER % 3, "</SubscriptionId></Heartbeat>")).when(ID % 5 == 2, F.lit("<Events></Events>"))
+    body = F.coalesce(body, F.when(ID % 5 == 3, "<Event xmlns='u'>").otherwise(""))
+    rows = t("events").select(windows_events.message_type(body).alias("kind"), body.alias("body"))
+    beat = F.when(F.col("kind") == "Heartbeat", windows_events.heartbeat(F.col("body"))["subscription_id"]).otherwise("")
+    return rows.select("kind", beat.alias("subscription_id")).groupBy("kind", "subscription_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _definitions() -> list:
+    """Three definitions with every field type and source, required and free fields, and a lookup."""
+    of = windows_events.EventDefinition.of
+    return [
+        of({"event_id": 1, "name": "typed", "fields": [{"name": "Count", "type": "integer", "required": True}, {"name": "Flag", "type": "boolean"}, {"name": "Note"}], "enrichments": [{"field": "Count", "lookup_table": {"0": "none", "1": "one"}}], "output_format": "{Count}/{Count_Name}/{Flag}/{Missing}"}),
+        of({"event_id": 2, "name": "system", "fields": [{"name": "Computer", "source": "System", "required": True}]}),
+        of({"event_id": 3, "name": "rendered", "fields": [{"name": "Message", "source": "RenderingInfo"}], "output_format": "<{Message}>"}),
+    ]
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 4 AS k, user_id, event_type FROM events)
+  SELECT event_id, CASE k WHEN 1 THEN 'typed' WHEN 2 THEN 'system' WHEN 3 THEN 'rendered' END AS parser, CASE WHEN k = 1 THEN (event_id // 4 % 3)::VARCHAR END AS number, CASE WHEN k = 1 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END END AS flag,
+  CASE k WHEN 1 THEN (event_id // 4 % 3) || '/' || CASE event_id // 4 % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE '{Count_Name}' END || '/' || (user_id % 2 = 0) || '/{Missing}' WHEN 3 THEN '<' || event_type || '>' END AS text
+  FROM e WHERE NOT (k = 1 AND user_id % 7 = 0) UNION ALL SELECT event_id, NULL, NULL, NULL, NULL FROM e WHERE k = 1 AND user_id % 7 = 0""")
+def event_definitions_typed(t):
+    data = lambda k, v: _s(f'<Data Name="{k}">', v, "</Data>")
+    count = F.when(USER % 7 == 0, "many").otherwise(_s(F.floor(ID / 4) % 3))
+    xml = _s("<Event><System><Computer>pc</Computer></System><EventData>", data("Count", count), data("Flag", F.when(USER % 2 == 0, "TRUE").otherwise("no")), "</EventData><RenderingInfo><Message> ", KIND, " </Message></RenderingInfo>")
+    rows = t("events").select(ID.alias("row"), (ID % 4).cast("int").alias("event_id"), xml.alias("raw_xml"))
+    out = windows_events.apply_definitions(rows, _definitions())
+    return out.select(F.col("row").alias("event_id"), F.col("parser_name").alias("parser"), F.col("fields")["Count"].alias("number"), F.col("fields")["Flag"].alias("flag"), F.col("formatted_message").alias("text"))
+
+
+@query("""SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false)) AS v(event_id, known)""")
+def supported_event_ids(t):
+    known = windows_events.supported_events({d.event_id: d for d in _definitions()})
+    return t("region").sparkSession.range(1, 5).select(F.col("id").cast("int").alias("event_id"), F.col("id").isin(known).alias("known"))
+
+
+@query("""SELECT event_id FROM events WHERE event_id % 6 <> 0""")
+def wef_unparsed_left_out(t):
+    rows = t("events").select(F.when(ID % 6 != 0, ID).alias("event_id"), TS.alias("time_created"), F.lit("h").alias("source_host"), F.lit("s").alias("subscription_id"), F.lit("<Event>").alias("raw_xml"), *[F.lit("").alias(c) for c in ("provider", "level", "computer", "message")])
+    return windows_events.to_table(rows).select("event_id")
+
+
+@query(f"""SELECT event_id AS seq, 2::BIGINT AS template_id, {_IP_SQL} AS src_addr, user_id AS scope FROM events""")
+def ipfix_options_template(t):
+    """An options template (set 3) whose data sets carry an address and, as a field that has no column, the flow id."""
+    options = F.concat(F.lit("00030016"), _h(300, 2), _h(2, 2), _h(1, 2), F.lit("0094000800080004"), F.lit("00000000"))
+    data = F.concat(_h(300, 2), _h(16, 2), _h(USER, 8), _SRC)
+    body = F.concat(F.lit("000A"), _h(16 + 22 + 16, 2), _h(1700000000, 4), _h(0, 4), _h(1, 4), options, data)
+    out = flows.decode_flows(t("events").select(ID.alias("seq"), F.lit("e").alias("exporter"), F.unhex(body).alias("payload")))
+    return out.select("seq", (F.col("template_id") - 298).cast("bigint").alias("template_id"), "src_addr", F.get_json_object("extra", "$.flowId").cast("bigint").alias("scope"))
+
+
+@query("""SELECT event_id AS seq, 443::BIGINT AS dst_port, (event_id % 256)::BIGINT AS nat_port, '2001:db8::' || lower(printf('%x', (event_id % 65535 + 1)::BIGINT)) AS v6, printf('%04x', (user_id % 65536)::BIGINT) AS own, make_timestamp(1700000000000000 + event_id * 1000) AS flow_start FROM events""")
+def ipfix_elements(t):
+    """IPv6, translated ports, an enterprise's element and milliseconds."""
+    fields = F.concat(F.lit("001B0010"), F.lit("000B0002"), F.lit("00E30002"), F.lit("00980008"), F.lit("80070002"), _h(9, 4))
+    template = F.concat(F.lit("0002"), _h(4 + 4 + 24, 2), _h(256, 2), _h(5, 2), fields)
+    v6 = F.concat(F.lit("20010DB8"), _h(0, 10), _h(ID % 65535 + 1, 2))
+    data = F.concat(_h(256, 2), _h(4 + 30, 2), v6, _h(443, 2), _h(ID % 256, 2), _h(F.lit(1700000000000) + ID, 8), _h(USER % 65536, 2))
+    body = F.concat(F.lit("000A"), _h(16 + 32 + 34, 2), _h(1700000000, 4), _h(0, 4), _h(1, 4), template, data)
+    out = flows.decode_flows(t("events").select(ID.alias("seq"), F.lit("e").alias("exporter"), F.unhex(body).alias("payload")))
+    extra = lambda k: F.get_json_object("extra", f"$['{k}']")
+    out = out.select("seq", "dst_port", F.col("src_port").alias("nat_port"), extra("sourceIPv6Address").alias("v6"), extra("ie9:7").alias("own"), F.col("flow_start").cast("timestamp_ntz").alias("flow_start"))
+    return _big(out, "dst_port", "nat_port")
+
+
+@query("""SELECT 'e' || (event_id % 3) AS exporter, count(*) AS n FROM events WHERE event_id // 3 % 5 < 2 GROUP BY 1""")
+def template_cache_cap(t):
+    """Each exporter announces five templates in order of their ids; a cache of two keeps the first ones."""
+    exporter = _s("e", ID % 3)
+    tid = F.floor(ID / 3) % 5 + 256
+    wrap = lambda sets, size: F.concat(F.lit("000A"), _h(16 + size, 2), _h(1700000000, 4), _h(0, 4), _h(1, 4), sets)
+    data = t("events").select(ID + 100, exporter, F.unhex(wrap(F.concat(_h(tid, 2), _h(8, 2), _SRC), 8)))
+    told = t("events").select((ID % 3).alias("e"), tid.alias("i")).distinct()
+    told = told.select(F.col("i") - 256, _s("e", F.col("e")), F.unhex(wrap(F.concat(F.lit("0002000C"), _h(F.col("i"), 2), F.lit("000100080004")), 12)))
+    sets = flows.split_sets(data.union(told).toDF("seq", "exporter", "payload"))
+    return flows.with_templates(sets, most=2).where(F.col("fields").isNotNull()).groupBy("exporter").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 9 ELSE 10 END::BIGINT AS protocol_version, {_IP_SQL} AS src_addr, user_id AS packets FROM events""")
+def flows_of_any_version(t):
+    five = F.concat(F.lit("00050001"), _h(0, 4), _h(1700000000, 4), _h(0, 12), _SRC, _DST, _h(0, 4), _h(1, 2), _h(2, 2), _h(USER, 4), _h(ID, 4), _h(7, 4), _h(9, 4), _h(1, 2), _h(2, 2), F.lit("00"), _h(24, 1), _h(6, 1), F.lit("00"), _h(0, 8))
+    sets = F.concat(F.lit("0024"), _h(256, 2), _h(7, 2), F.lit(_FIELDS), _h(256, 2), _h(33, 2), _RECORD)
+    nine = F.concat(F.lit("00090002"), _h(0, 4), _h(1700000000, 4), _h(0, 4), _h(5, 4), F.lit("0000"), sets)
+    ten = F.concat(F.lit("000A"), _h(16 + 36 + 33, 2), _h(1700000000, 4), _h(0, 4), _h(1, 4), F.lit("0002"), sets)
+    body = F.when(ID % 3 == 0, five).when(ID % 3 == 1, nine).otherwise(ten)
+    out = flows.decode_datagrams(t("events").select(ID.alias("seq"), F.lit(None).cast("string").alias("exporter"), F.unhex(body).alias("payload")))
+    return _big(out.select("protocol_version", "src_addr", F.col("packet_delta_count").alias("packets")), "protocol_version", "packets")
+
+
+@query(f"""SELECT event_id AS seq, {_IP_SQL} AS src_addr, {_DST_SQL} AS dst_addr, event_id % 65536 AS src_port, 443::BIGINT AS dst_port, 6::BIGINT AS ip_protocol FROM events""")
+def sflow_raw_header(t):
+    """Sampled Ethernet frames with an IPv4 and a TCP header."""
+    frame = F.concat(F.lit("FFFFFFFFFFFF0011223344550800"), F.lit("4500002800000000400600 00".replace(" ", "")), _SRC, _DST, _h(ID % 65536, 2), _h(443, 2), _h(0, 16))
+    item = F.concat(_h(1, 4), _h(70, 4), _h(0, 4), _h(54, 4), frame, _h(0, 2))
+    sample = F.concat(_h(1, 4), _h(32 + 8 + 72, 4), _h(1, 4), _h(0, 4), _h(512, 4), _h(0, 4), _h(0, 4), _h(1, 4), _h(2, 4), _h(1, 4), _h(1, 4), _h(72, 4), item)
+    out = sflow.flow_table(sflow.decode_sflow(t("events").select(ID.alias("seq"), F.unhex(_sflow(sample)).alias("payload"))))
+    return _big(out.select("seq", "src_addr", "dst_addr", "src_port", "dst_port", "ip_protocol"), "src_port", "dst_port", "ip_protocol")
+
+
+@query("""SELECT event_id AS seq, 7::BIGINT AS enterprise, 33::BIGINT AS format, 4::BIGINT AS length, lower(printf('%08x', (event_id % 1000)::BIGINT)) AS data FROM events""")
+def sflow_unknown_records(t):
+    sample = F.concat(_h(2, 4), _h(24, 4), _h(1, 4), _h(0, 4), _h(1, 4), _h(7 * 4096 + 33, 4), _h(4, 4), _h(ID % 1000, 4))
+    out = sflow.counter_table(sflow.decode_sflow(t("events").select(ID.alias("seq"), F.unhex(_sflow(sample)).alias("payload"))))
+    item = lambda k: F.get_json_object("extra", f"$[0].{k}")
+    return out.select("seq", *[item(k).cast("bigint").alias(k) for k in ("enterprise", "format", "length")], item("data_hex").alias("data"))
+
+
+_ZEEK = {
+    "dns": ('"trans_id":', "trans_id", ',"query":"', "query", '","answers":["a","b"]'),
+    "http": ('"status_code":', "status_code", ',"host":"', "host", '","method":"GET"'),
+    "ssl": ('"id.orig_p":', "id_orig_p", ',"server_name":"', "server_name", '","version":"v3"'),
+    "files": ('"total_bytes":', "total_bytes", ',"filename":"', "filename", '","tx_hosts":["h"]'),
+    "notice": ('"id.resp_p":', "id_resp_p", ',"msg":"', "msg", '","actions":"none"'),
+}
+
+
+def _zeek_typed(name: str):
+    """A query of one typed stream: a number, a text, and a key that has no column."""
+    head, number, middle, text, end = _ZEEK[name]
+
+    def run(t):
+        line = _s('{"_path":"', name, '",', head, ID % 60000, middle, KIND, end, ',"more":{"u":', USER, "}}")
+        out = json_streams.zeek_table(json_streams.parse_lines(t("events").select(line.alias("value")), "_path"), name)
+        return out.select(F.col(number).cast("bigint").alias("number"), F.col(text).alias("text"), F.get_json_object("_extra", "$.more.u").cast("bigint").alias("more"))
+
+    run.__name__ = f"zeek_{name}_typed"
+    query("SELECT event_id % 60000 AS number, event_type AS text, user_id AS more FROM events")(run)
+
+
+for _name in _ZEEK:
+    _zeek_typed(_name)
+
+
+@query("""SELECT CASE event_id % 3 WHEN 0 THEN 'conn' WHEN 1 THEN 'Conn' ELSE 'odd path' END AS log_path, CASE WHEN event_id % 3 = 0 THEN 'typed' ELSE 'envelope' END AS form, count(*) AS n FROM events GROUP BY 1, 2""")
+def zeek_path_fallback(t):
+    """Only the exact path is typed; one that cleaning would turn into the table's name keeps the envelope."""
+    line = _s('{"_path":"', F.when(ID % 3 == 0, "conn").when(ID % 3 == 1, "Conn").otherwise("odd path"), '","uid":"C', ID, '"}')
+    parsed = json_streams.parse_lines(t("events").select(line.alias("value")), "_path")
+    typed = json_streams.zeek_table(parsed, "conn").select(F.get_json_object("_extra", "$._path").alias("log_path"), F.lit("typed").alias("form"))
+    rest = json_streams.zeek_envelope(parsed).select("log_path", F.lit("envelope").alias("form"))
+    return typed.unionByName(rest).groupBy("log_path", "form").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE event_id % 3 WHEN 0 THEN 'oversize' ELSE 'malformed' END AS reason, count(*) AS n FROM events WHERE event_id % 3 < 2 GROUP BY 1""")
+def json_lines_rejected(t):
+    line = F.when(ID % 3 == 0, _s('{"a":"', F.repeat(F.lit("x"), 90), '"}')).when(ID % 3 == 1, _s('{"a":', ID)).otherwise(_s('{"a":', ID, "}"))
+    return json_streams.rejected_lines(t("events").select(line.alias("value")), max_bytes=80).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id AS body_id, 'web' AS sourcetype, 'line "' || event_type || '" ' || event_id AS raw FROM events""")
+def hec_raw_parse(t):
+    rows = t("events").select(ID.alias("body_id"), F.encode(_s('line "', KIND, '" ', ID), "UTF-8").alias("body"), F.lit("web").alias("default_sourcetype"))
+    return ingest.hec_raw(rows).select("body_id", "sourcetype", F.get_json_object("fields", "$.raw").alias("raw"))
+
+
+@query("""SELECT event_id AS body_id, event_id AS i, (event_id + 0.5)::DOUBLE AS d, event_type AS inner_kind, user_id AS second, '0102' AS raw, event_id % 2 = 0 AS flag FROM events""")
+def otlp_any_values(t):
+    kv = lambda k, v: _s('{"key":"', k, '","value":{', v, "}}")
+    pairs = [
+        kv("i", _s('"intValue":"', ID, '"')), kv("d", _s('"doubleValue":', ID, ".5")), kv("f", _s('"boolValue":', F.when(ID % 2 == 0, "true").otherwise("false"))), kv("b", F.lit('"bytesValue":"AQI="')),
+        kv("l", _s('"arrayValue":{"values":[{"stringValue":"x"},{"intValue":"', USER, '"}]}')), kv("m", _s('"kvlistValue":{"values":[', kv("kind", _s('"stringValue":"', KIND, '"')), "]}")),
+    ]
+    body = _s('{"resource_logs":[{"scope_logs":[{"log_records":[{"attributes":[', F.concat_ws(",", *pairs), "]}]}]}]}")
+    rows = t("events").select(ID.alias("body_id"), F.encode(body, "UTF-8").alias("body"), F.lit("application/json; charset=utf-8").alias("content_type"), F.lit("p").alias("source_host"))
+    f = lambda k: F.get_json_object("fields", f"$.{k}")
+    return ingest.otlp_logs(rows).select("body_id", f("i").cast("bigint").alias("i"), f("d").cast("double").alias("d"), f("m.kind").alias("inner_kind"), f("l[1]").cast("bigint").alias("second"), f("b").alias("raw"), (f("f") == "true").alias("flag"))
+
+
+@query("""SELECT CASE event_id % 4 WHEN 0 THEN 415 ELSE 400 END::BIGINT AS status, count(*) AS n FROM events WHERE event_id % 4 < 2 GROUP BY 1""")
+def otlp_rejected_bodies(t):
+    kind = F.when(ID % 4 == 0, "text/plain").when(ID % 4 == 3, "application/x-protobuf").otherwise("application/json")
+    rows = t("events").select(ID.alias("body_id"), F.encode(F.when(ID % 4 == 1, "{").when(ID % 4 == 2, "{}").otherwise(""), "UTF-8").alias("body"), kind.alias("content_type"))
+    return ingest.otlp_rejected(rows).groupBy(F.col("status").cast("bigint").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id % 16 < 8) AS allowed, count(*) AS n FROM events GROUP BY 1""")
+def ipv6_allowlist(t):
+    ip = F.when(ID % 3 == 0, _s("2001:DB8::", F.lower(F.hex(ID % 4096)))).when(ID % 3 == 1, _s("fd00:1:2:3:4:5:6:", F.lower(F.hex(ID % 16)))).otherwise(_s("2001:db9::", ID % 10, "::1"))
+    return t("events").groupBy(route.allowed(ip, ["2001:db8::/32", "fd00:1:2:3:4:5:6:0/125", "10.0.0.0/8"]).alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id % 2 = 0 AS short, count(*) AS n FROM events WHERE event_id % 5 > 0 GROUP BY 1""")
+def oversize_datagrams(t):
+    data = F.when(ID % 5 == 0, F.repeat(F.lit("y"), 70)).when(ID % 2 == 0, F.lit("ab")).otherwise(F.lit("abcdef"))
+    rows = t("events").select(ID.alias("seq"), TS.cast("timestamp").alias("received_at"), F.lit("e").alias("exporter"), F.encode(data, "UTF-8").alias("payload"))
+    return network.lines_of(rows, 64).groupBy((F.length("value") == 2).alias("short")).agg(F.count(F.lit(1)).alias("n"))
+
 
 def _columns() -> None:
     """The columns that the queries render records from; made when a query runs, as they need a session."""

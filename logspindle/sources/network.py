@@ -8,12 +8,14 @@ import socket
 import threading
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 SCHEMA = "seq long, received_at timestamp, exporter string, payload binary"
 MAX_LINE = 256 << 10
+#: Connections that are open at once.
+CONNECTIONS = 1024
 #: Records that wait between two batches; more are dropped and counted.
 WAITING = 100_000
 
@@ -21,10 +23,11 @@ WAITING = 100_000
 class _Listener:
     """Receives on a thread of its own into a bounded queue."""
 
-    def __init__(self, protocol: str, host: str, port: int, max_line: int):
+    def __init__(self, protocol: str, host: str, port: int, max_line: int, most: int = CONNECTIONS):
         self.queue: queue.Queue = queue.Queue(WAITING)
-        self.dropped = 0
-        self.max_line = max_line
+        #: Records dropped because the queue was full, lines over ``max_line``, connections refused over ``most``.
+        self.dropped = self.oversize = self.refused = 0
+        self.max_line, self.most, self.open = max_line, most, 0
         self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM if protocol == "udp" else socket.SOCK_STREAM)
         self.socket.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
         self.socket.bind((host, port))
@@ -53,12 +56,24 @@ class _Listener:
                 connection, peer = self.socket.accept()
             except OSError:
                 return
-            threading.Thread(target=self._lines, args=(connection, peer[0]), daemon=True).start()
+            if self.open >= self.most:
+                self.refused += 1
+                connection.close()
+                continue
+            self.open += 1
+            threading.Thread(target=self._connection, args=(connection, peer[0]), daemon=True).start()
+
+    def _connection(self, connection: socket.socket, peer: str) -> None:
+        try:
+            self._lines(connection, peer)
+        finally:
+            self.open -= 1
 
     def _lines(self, connection: socket.socket, peer: str) -> None:
         with connection, contextlib.suppress(OSError), connection.makefile("rb") as f:
             while line := f.readline(self.max_line + 1):
                 if len(line) > self.max_line and not line.endswith(b"\n"):
+                    self.oversize += 1
                     return  # an oversize line ends its connection
                 if line := line.rstrip(b"\r\n"):
                     self._put(peer, line)
@@ -125,17 +140,21 @@ def read_lines(spark: SparkSession, path: str, max_bytes: int = MAX_LINE) -> Dat
     return spark.read.text(path).where((F.length(F.trim("value")) > 0) & (F.octet_length("value") <= max_bytes))
 
 
-def read_datagrams(spark: SparkSession, path: str) -> DataFrame:
-    """A file a datagram; numbered by name. Files are listed in one task each, so numbering shuffles names only."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.xxhash64("path").alias("seq"), F.col("modificationTime").alias("received_at"), F.lit(None).cast("string").alias("exporter"), F.col("content").alias("payload"))
+def read_datagrams(spark: SparkSession, path: str, *, exporter: Column | None = None) -> DataFrame:
+    """A file a datagram; seq rises with the files' paths, so capture order is name order. The exporter is the name of a file's folder, or ``exporter`` (of path)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).orderBy("path")
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1)
+    return files.select(F.monotonically_increasing_id().alias("seq"), F.col("modificationTime").alias("received_at"), (folder if exporter is None else exporter).alias("exporter"), F.col("content").alias("payload"))
 
 
-# Query lines of the usual name servers, for trying things out.
+#: Query lines as the usual name servers write them, and lines with payloads, for trying things out.
 EXAMPLES = [
-    "<30>Jan 15 10:30:45 dns01 named[1234]: client 192.168.1.100#12345: query: example.com IN A + (192.168.1.1)",
-    "<30>Jan 15 10:30:46 dns01 unbound[99]: info: 192.168.1.101 example.org. A IN",
-    "<30>Jan 15 10:30:47 dns01 pdns[7]: Remote 192.168.1.102 wants 'example.net|AAAA'",
+    "<29>Mar  3 04:05:06 ns-a named[311]: client 203.0.113.9#40001: query: shop.test IN A + (198.51.100.4)",
+    "<29>Mar  3 04:05:07 ns-b unbound[17]: info: 203.0.113.10 mail.test. MX IN",
+    "<29>Mar  3 04:05:08 ns-c pdns[5]: Remote 203.0.113.11 wants 'img.test|AAAA'",
+    '<165>1 2024-03-03T04:05:09.250Z ns-d named 88 Q7 [zone@64512 view="inner"] client 203.0.113.12#5353: query: a.test IN TXT + (198.51.100.5)',
+    "<134>Mar  3 04:05:10 edge fw: CEF:0|Northwall|Edge|4.2|drop-17|Packet dropped|4|src=203.0.113.13 dpt=23",
+    "<85>Mar  3 04:05:11 vault radiusd[9]: Login OK: [maren] (from client wlan port 3 cli 203.0.113.14)",
 ]
 
 

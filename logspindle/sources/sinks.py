@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import rfc3339_text, sanitize_segment
+from ..operators import syslog
 from ..operators.json_streams import TABLES, suricata_table, zeek_envelope, zeek_table
+from ..operators.payload import structured_records
 from ..operators.route import cap_partitions, with_date
-from ..functions.expr import sanitize_segment
+from ..operators.sflow import counter_table, flow_table
+from ..operators.windows_events import to_table
 
 
 def write_table(rows: DataFrame, prefix: str, segment: str | None = None, *, at: Column | None = None, partition_by: tuple[str, ...] = (), max_rows_per_file: int = 0) -> None:
@@ -30,6 +34,33 @@ def write_suricata(parsed: DataFrame, prefix: str, *, at: Column | None = None)
     write_table(rows, prefix, at=at, partition_by=("segment",))
 
 
+def write_syslog(parsed: DataFrame, prefix: str, *, at: Column | None = None) -> None:
+    """Parsed syslog rows, without lines that no format fits; structured data as JSON."""
+    rows = parsed.where(F.col("protocol").isNotNull()).select(*syslog.COLUMNS).withColumn("structured_data", F.to_json("structured_data"))
+    write_table(rows.withColumn("timestamp", rfc3339_text(F.col("timestamp"))), prefix, at=at)
+
+
+def write_structured(parsed: DataFrame, prefix: str, *, received_at: Column | None = None, at: Column | None = None) -> None:
+    """The payloads of syslog rows, by ``payload_type=``."""
+    write_table(structured_records(parsed, received_at), prefix, at=at, partition_by=("payload_type",))
+
+
+def write_flows(flows: DataFrame, prefix: str, *, at: Column | None = None) -> None:
+    """Flow rows as ``decode_datagrams`` gives them."""
+    write_table(flows.drop("seq", "part", "record_no"), prefix, at=at)
+
+
+def write_sflow(decoded: DataFrame, prefix: str, *, at: Column | None = None) -> None:
+    """A table of flow samples and one of counter samples."""
+    write_table(flow_table(decoded).drop("seq", "sample_no"), prefix, "flow", at=at)
+    write_table(counter_table(decoded).drop("seq", "sample_no"), prefix, "counter", at=at)
+
+
+def write_events(events: DataFrame, prefix: str, *, at: Column | None = None) -> None:
+    """Windows events by ``event_id=``."""
+    write_table(to_table(events), prefix, at=at, partition_by=("event_id",))
+
+
 def write_capped(rows: DataFrame, prefix: str, key: str, seq: str, most: int, *, at: Column | None = None) -> None:
     """By ``segment=``: the first ``most`` values of ``key``, cleaned for paths, then ``_overflow``."""
     capped = cap_partitions(rows.withColumn("__segment", sanitize_segment(F.col(key))), "__segment", seq, most).drop("__segment")

@@ -3,6 +3,7 @@
 import json
 
 from logspindle.operators import flows, netflow5, sflow
+from logspindle.sources import network
 from logspindle.streaming.flows import decode_stream
 
 TEMPLATE_AND_DATA = "000a002c675cb0200000000100000000000200100100000200080004000c00040100000cc0a801010a000001"
@@ -47,6 +48,22 @@ def test_templates_hold_for_their_exporter_from_then_on(spark):
     assert sorted((r.exporter, r.template_id, r.n_sets) for r in missing) == [("a", 256, 1), ("b", 256, 1), ("c", 300, 1)]
 
 
+def test_datagram_files_in_name_order(spark, tmp_path):
+    """Templates come before their data by name; the folder is the exporter."""
+    data_only = TEMPLATE_AND_DATA[:4] + "001c" + TEMPLATE_AND_DATA[8:32] + TEMPLATE_AND_DATA[64:]
+    for folder, name, text in (("r1", "000", data_only), ("r1", "001", TEMPLATE_AND_DATA), ("r1", "002", data_only), ("r2", "000", V9), ("r2", "001", V5), ("r3", "000", data_only)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{name}.bin").write_bytes(bytes.fromhex(text))
+    rows = network.read_datagrams(spark, str(tmp_path)).collect()
+    assert [r.exporter for r in sorted(rows, key=lambda r: r.seq)] == ["r1", "r1", "r1", "r2", "r2", "r3"]
+    got = flows.decode_datagrams(network.read_datagrams(spark, str(tmp_path))).collect()
+    assert sorted((r.exporter, r.protocol_version) for r in got) == [("r1", 10), ("r1", 10), ("r2", 5), ("r2", 9)]
+
+
+def test_an_exporter_without_a_name_has_templates(spark):
+    assert len(decoded(spark, (None, V9))) == 1
+
+
 def test_malformed_datagrams_lose_flows_but_not_templates(spark):
     broken = TEMPLATE_AND_DATA[:64] + "0100ffff" + TEMPLATE_AND_DATA[72:]
     version, _, _, sets, error = flows.sets_of(bytes.fromhex(broken))

@@ -5,7 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from logspindle.operators import json_streams, syslog
+import test_flows
+from logspindle.operators import flows, json_streams, sflow, syslog, windows_events
 from logspindle.sources import network, sinks
 
 
@@ -23,6 +24,38 @@ def test_capped_layout(spark, tmp_path):
     assert {p.name for p in tmp_path.iterdir() if p.is_dir()} == {"segment=a", "segment=b", "segment=_overflow"}
 
 
+def test_tables_of_every_kind(spark, tmp_path):
+    at = F.lit("2026-03-07").cast("timestamp")
+    lines = spark.createDataFrame([("<34>Mar  3 04:05:06 h su: x",), ("<34>Mar  3 04:05:06 h fw: CEF:0|A|B|1|2|C|5|k=v",), ("noise",)], "value string")
+    parsed = syslog.parse_syslog(lines, year=2024)
+    sinks.write_syslog(parsed, str(tmp_path / "syslog"), at=at)
+    sinks.write_structured(parsed, str(tmp_path / "structured"), at=at)
+    assert spark.read.parquet(str(tmp_path / "syslog")).count() == 2
+    assert (tmp_path / "structured/payload_type=cef/year=2026/month=03/day=07").is_dir()
+    frame = lambda text: spark.createDataFrame([(0, "e", bytearray.fromhex(text))], "seq long, exporter string, payload binary")
+    sinks.write_flows(flows.decode_datagrams(frame(test_flows.V5)), str(tmp_path / "ipfix"), at=at)
+    assert spark.read.parquet(str(tmp_path / "ipfix")).first().protocol_version == 5
+    sinks.write_sflow(sflow.decode_sflow(frame(test_flows.SFLOW_IP4)), str(tmp_path / "sflow"), at=at)
+    assert spark.read.parquet(str(tmp_path / "sflow/flow")).count() == 1
+    events = windows_events.extract_fields(spark.createDataFrame([("h", "s", "<Event><System><EventID>7</EventID></System>")], "source_host string, subscription_id string, raw_xml string"))
+    sinks.write_events(events, str(tmp_path / "events"), at=at)
+    assert (tmp_path / "events/event_id=7/year=2026/month=03/day=07").is_dir()
+
+
+def test_connections_are_capped():
+    listener = network._Listener("tcp", "127.0.0.1", 0, 10, 1)
+    with socket.create_connection(("127.0.0.1", listener.port)) as a:
+        a.sendall(b"one\n")
+        assert listener.queue.get(timeout=5)[2] == b"one"
+        with socket.create_connection(("127.0.0.1", listener.port)) as b:
+            assert b.recv(1) == b"" and listener.refused == 1
+        a.sendall(b"x" * 30)
+        end = time.time() + 5
+        while not listener.oversize and time.time() < end:
+            time.sleep(0.05)
+    assert listener.oversize == 1
+
+
 def test_stream_parse_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("<34>Oct 11 22:14:15 h su: x\nnoise\n<35>Oct 11 22:14:16 h su: y\n")
