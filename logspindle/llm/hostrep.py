@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import join_hot, settle
+
 #: Fixed values: (host, path, verdict) of the rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: A host is blocked if its bad share exceeds this even at the low end of the posterior.
 BAD_SHARE = 0.5
-#: Standard deviations from the posterior mean to that end.
+#: Standard deviations from the posterior mean to that end: a normal approximation to the tenth percentile of the beta posterior,
+#: which neither Spark nor SQL has a function for.
 Z = 1.2816
 #: Bounds of a level's prior strength, in pages.
 STRENGTH = (1.0, 200.0)
-SALTS = 32
 #: Second-level labels under which names are registered.
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
 
@@ -64,18 +66,19 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     each level's beta prior has its parent's posterior mean and a strength found from the spread between the
     groups of the level. Returns host, n, bad, prior, strength, mean, low: the posterior mean less ``Z`` deviations.
     """
-    hosts = outcomes.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = settle(outcomes.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix"))))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
+    domains = settle(domains)
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
     whole = suffixes.agg(((F.coalesce(F.sum("sbad"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("wmean"))
-    suffixes = suffixes.join(F.broadcast(whole))  # one row
+    suffixes = settle(suffixes.join(F.broadcast(whole)))  # one row
     lab = lambda df, n: df.where(F.col(n) > 0)
     ks = _strength(lab(suffixes, "sn"), F.col("wmean"), "sn", "sbad").select(F.coalesce("k", F.lit(STRENGTH[0])).alias("ks"))
     suffixes = suffixes.join(F.broadcast(ks)).withColumn("smean", (F.col("sbad") + F.col("ks") * F.col("wmean")) / (F.col("sn") + F.col("ks")))
-    domains = domains.join(suffixes.select("suffix", "smean"), "suffix")
+    domains = settle(domains.join(suffixes.select("suffix", "smean"), "suffix"))
     kd = _strength(lab(domains, "dn"), F.col("smean"), "dn", "dbad").select(F.coalesce("k", F.lit(STRENGTH[0])).alias("kd"))
     domains = domains.join(F.broadcast(kd)).withColumn("dmean", (F.col("dbad") + F.col("kd") * F.col("smean")) / (F.col("dn") + F.col("kd")))
-    hosts = hosts.join(domains.select("suffix", "domain", "dmean"), ["suffix", "domain"])
+    hosts = settle(hosts.join(domains.select("suffix", "domain", "dmean"), ["suffix", "domain"]))
     kh = _strength(lab(hosts, "n"), F.col("dmean"), "n", "bad").select(F.coalesce("k", F.lit(STRENGTH[0])).alias("kh"))
     hosts = hosts.join(F.broadcast(kh))
     a, b = F.col("bad") + F.col("kh") * F.col("dmean"), F.col("n") - F.col("bad") + F.col("kh") * (1 - F.col("dmean"))
@@ -94,12 +97,12 @@ def judge(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     marks = labels.where(F.col("id").isNotNull() & F.col("bad").isNotNull()).groupBy("id").agg(F.max("bad").alias("bad"))
     seen = rows.join(marks, rows["page_id"] == marks["id"], "left")
-    outcomes = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    rep = reputations(outcomes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    outcomes = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("pages"))
+    outcomes = settle(outcomes)
+    rep = settle(reputations(outcomes.drop("pages")).join(outcomes.select("host", "pages"), "host"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("low") > bad_share, F.lit("block")).otherwise(F.lit("allow"))
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    out = spread.join(rep, ["host", "salt"], "left")
+    out = join_hot(rows, rep, ["host"], "pages")  # every host has its row
     return out.select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("n").alias("host_labelled"), F.col("bad").alias("host_bad"), F.col("mean").alias("host_mean"), F.col("low").alias("host_low"))
 
 

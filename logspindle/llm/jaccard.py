@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..ship import map_arrow
 from . import textvec as tv
-from .shared import discard, settle
+from .shared import discard, join_hot, settle
 
 SHINGLE = 5
 #: Two sets link when NUMERATOR * union <= 100 * intersection.
@@ -33,8 +33,6 @@ PART = 128
 SKETCH = 8
 #: So many rows at most are broadcast; more are joined by a shuffle.
 BROADCAST = 1 << 20
-#: Keys of more rows than this, and than a 2**20th of all rows, are joined by broadcast: at most 2**20 keys.
-HOT = 64
 #: Bytes of text handled at once (a longer document alone).
 RUN = 1 << 19
 
@@ -201,17 +199,6 @@ def sets(docs: DataFrame) -> DataFrame:
     return _map(docs, "h1 long, h2 long, hashes array<long>", lambda ids, row, g, n: pa.RecordBatch.from_arrays([*_fingerprint(row, g, len(n)), _lists(row, g, len(n))], ["h1", "h2", "hashes"]))
 
 
-def _join_hot(rows: DataFrame, stats: DataFrame, key: str, size: str) -> DataFrame:
-    """``rows`` joined with ``stats`` (a row for each ``key``, with the number of its rows), without all rows of a large key in one task.
-
-    Keys with more than ``HOT`` rows and more than a 2**20th of all rows are joined by broadcast: there can't be more than 2**20.
-    """
-    most = max(HOT, (stats.agg(F.sum(size)).first()[0] or 0) >> 20)
-    hot = F.broadcast(stats.where(F.col(size) > most))
-    cool = rows.join(hot.select(key), key, "left_anti").join(stats.where(F.col(size) <= most), key)
-    return cool.unionByName(rows.join(hot, key))
-
-
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs (a < b) of ``reps`` (id, keys) that share a key.
 
@@ -223,7 +210,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
     lead = settle(lead.where(F.col("size") > 1))
     two = lead.where(F.col("size") == 2).select(F.col("low").alias("a"), F.col("high").alias("b"))
-    shared = settle(_join_hot(rows, lead.where(F.col("size") > 2), "key", "size"))
+    shared = settle(join_hot(rows, lead.where(F.col("size") > 2), ["key"], "size"))
     some = shared.where(F.col("size") <= GROUP).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
     inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, GROUP), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = some.select(F.explode(inner).alias("p")).select("p.a", "p.b")
@@ -292,12 +279,12 @@ def cross_pairs(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     span = [F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), first.alias("first")]
     # few rare shingles lie in several components: they go to the tasks where they are few enough
     mixed = settle(rows.groupBy("token").agg(*span).where((F.col("lo") < F.col("hi")) & F.col("first").isNotNull()).select("token", "size"))
-    rows = _with_tokens(held, mixed, percent) if mixed.count() <= BROADCAST else _join_hot(rows, mixed, "token", "size").drop("size")
+    rows = _with_tokens(held, mixed, percent) if mixed.count() <= BROADCAST else join_hot(rows, mixed, ["token"], "size").drop("size")
     rows = settle(rows.withColumn("reach", F.floor(F.col("left") * (100 + percent) / percent).cast("long") - F.col("n")))
     # a set whose partners would all be smaller than the token's smallest set, or out of the others' reach, has none by this token
     ends = settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("reach").alias("far"), first.alias("first")))
     fits = (F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("far")) & (F.col("early") | (F.col("n") >= F.col("first")))
-    fit = settle(_join_hot(rows, ends, "token", "size").where(fits).drop("size", "least", "far", "first"))
+    fit = settle(join_hot(rows, ends, ["token"], "size").where(fits).drop("size", "least", "far", "first"))
     # members of a token's largest component aren't compared with each other: each lies in one part, and the others come to it
     sizes = fit.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
@@ -312,7 +299,7 @@ def cross_pairs(held: DataFrame, percent: int = PERCENT) -> DataFrame:
         .when(in_top, upto("others", lambda x: cell(1, x, own)))
         .otherwise(F.concat(upto("others", lambda x: cell(0, F.least(own, x), F.greatest(own, x))), upto("tops", lambda x: cell(1, own, x))))
     )
-    dealt = _join_hot(fit, of, "token", "size").withColumn("own", F.pmod(F.xxhash64("id"), F.when(in_top, F.col("tops")).otherwise(F.col("others"))))
+    dealt = join_hot(fit, of, ["token"], "size").withColumn("own", F.pmod(F.xxhash64("id"), F.when(in_top, F.col("tops")).otherwise(F.col("others"))))
     dealt = dealt.withColumn("cell", F.explode(cells)).withColumn("own", F.when(in_top, F.lit(-1).cast("long")).otherwise(own))
     member = F.struct("id", "component", "n", "left", "own", F.col("early").cast("long").alias("early")).alias("m")
     groups = dealt.groupBy("token", "cell").agg(F.collect_list(member).alias("m")).select(((F.col("cell.kind") == 0) & (F.col("cell.i") == F.col("cell.j"))).alias("alike"), "m")
@@ -402,7 +389,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _few(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"), n)
-        large = _join_hot(both, low, "u", "size").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hot(both, low, ["u"], "size").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("x"), "m"), F.struct(F.col("v").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.m").alias("v"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import join_hot, settle
+
 #: A line is boilerplate of a site if more than this share of the site's pages has it ...
 RATIO = 0.01
 #: ... and at least so many pages, or more than this share of them (but two at least).
@@ -50,8 +52,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``n_lines`` and ``n_dropped``, which are replaced.
     """
     one = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
-    bad = boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, ratio=ratio, min_pages=min_pages)
-    gone = _lines(one).join(bad, ["site", "line"]).where(F.col("id") != F.col("first_id")).groupBy("id", "site").agg(F.collect_set("line").alias("gone"))
+    bad = settle(boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, ratio=ratio, min_pages=min_pages))
+    gone = join_hot(_lines(one), bad, ["site", "line"], "pages_with").where(F.col("id") != F.col("first_id")).groupBy("id", "site").agg(F.collect_set("line").alias("gone"))
     gone = gone.select(F.col("id").alias("__gone_id"), F.col("site").alias("__gone_site"), F.col("gone").alias("__gone"))
     named = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*named).join(gone, (F.col(id_col) == F.col("__gone_id")) & (F.coalesce(F.col(site_col).cast("string"), F.lit("")) == F.col("__gone_site")), "left")

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys of more rows than this, and than a 2**20th of all rows, are joined by broadcast: at most 2**20 keys.
+HOT = 64
 
 
 def folder(spark: SparkSession) -> str:
@@ -44,3 +48,14 @@ def discard(df: DataFrame | None) -> None:
         jvm, spark = df.sparkSession._jvm, df.sparkSession
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def join_hot(rows: DataFrame, stats: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with the stored ``stats`` (a row for each key, with the number of its rows), without all rows of a large key in one task.
+
+    Keys with more than ``HOT`` rows and more than a 2**20th of all rows are joined by broadcast: there can't be more than 2**20.
+    """
+    most = max(HOT, (stats.agg(F.sum(size)).first()[0] or 0) >> 20)
+    hot = F.broadcast(stats.where(F.col(size) > most))
+    cool = rows.join(hot.select(*keys), keys, "left_anti").join(stats.where(F.col(size) <= most), keys)
+    return cool.unionByName(rows.join(hot, keys))

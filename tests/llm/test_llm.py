@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logspindle.llm import decontaminate, hostrep, jaccard, langid, lines, media, packing, pii, shards, toxicity, webp
+from logspindle.llm import decontaminate, hostrep, jaccard, langid, lines, media, packing, pii, shards, shared, toxicity, webp
 from logspindle.llm import textvec as tv
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_sha string, spans string"
@@ -350,7 +350,7 @@ def test_jaccard_join_needs_no_blocks(spark, monkeypatch):
         for k in range(6):
             texts.append(" ".join(w if rng.random() > 0.02 * k else rng.choice(WORDS) for w in base))
     monkeypatch.setattr(jaccard, "candidates", lambda reps: reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
-    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(shared, "HOT", 2)
     rows = jaccard.link(frame(spark, texts)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
 
@@ -368,7 +368,7 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
 @pytest.mark.parametrize("broadcast", [1 << 20, 0])
 def test_cross_pairs_miss_no_link(spark, monkeypatch, broadcast):
     monkeypatch.setattr(jaccard, "PART", 7)
-    monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(shared, "HOT", 5)
     monkeypatch.setattr(jaccard, "BROADCAST", broadcast)
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 62, 60).astype(np.uint64)
