@@ -173,10 +173,10 @@ def _gist(text: str) -> tuple[list[str], list[int]]:
 
 
 def _distinct(gists: list[tuple[list[str], list[int], int]]) -> list[tuple[set[str], int]]:
-    """Word sets without near copies (texts that share one of their marks)."""
+    """Word sets without near copies (texts that share one of their marks); of copies with both labels the clean one counts."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for words, minima, toxic in sorted(gists):
+    for words, minima, toxic in sorted(gists, key=lambda g: (g[2], g[1], g[0])):
         marks = set(enumerate(minima))
         if words and not marks & seen:
             out.append((set(words), toxic))
