@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..ship import map_arrow
 
 RETENTION_MINUTES = 60
 
@@ -53,3 +59,31 @@ def fixed_window_limit(requests: DataFrame, *, key: str = "ip", ts_col: str = "t
     """Adds allowed: whether a request is among the first ``most`` of its key's window of ``seconds`` (calendar windows); ``ties`` order requests of one time."""
     w = Window.partitionBy(key, F.window(F.col(ts_col).cast("timestamp"), f"{seconds} seconds")).orderBy(ts_col, *ties)
     return requests.withColumn("allowed", F.row_number().over(w) <= most)
+
+
+def anchored_window_limit(requests: DataFrame, *, key: str = "ip", ts_col: str = "ts", ties: tuple[str, ...] = (), seconds: int = 60, most: int = 30) -> DataFrame:
+    """As ``fixed_window_limit``, with windows that begin at a request: the key's first one, then the first more than ``seconds`` after
+    the last window's beginning. Requests without a time get null. A key's requests are read in order by one task, as a stream."""
+    micros = f"__{ts_col}_micros"
+    rows = requests.withColumn(micros, F.unix_micros(F.col(ts_col).cast("timestamp"))).repartition(key).sortWithinPartitions(key, micros, *ties)
+    width = seconds * 1_000_000
+
+    def scan(batches: Iterator) -> Iterator:
+        now, start, n = (), None, 0
+        for batch in batches:
+            flags: list = []
+            for k, at in zip(batch.column(key).to_pylist(), batch.column(micros).to_pylist(), strict=True):
+                if at is None:
+                    flags.append(None)
+                    continue
+                if (k,) != now:
+                    now, start = (k,), None
+                if start is None or at - start > width:
+                    start, n = at, 0
+                n += 1
+                flags.append(n <= most)
+            kept = [batch.column(c) for c in requests_columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(flags, pa.bool_())], [*requests_columns, "allowed"])
+
+    requests_columns = requests.columns
+    return map_arrow(rows, scan, T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())]))

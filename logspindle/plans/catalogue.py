@@ -433,6 +433,15 @@ def rate_limit(t):
     return stats.fixed_window_limit(t("events"), key="user_id", ties=("event_id",), seconds=3600, most=1).select("event_id", "allowed")
 
 
+@query("""WITH RECURSIVE s AS (
+  SELECT user_id, min(ts) AS start FROM events GROUP BY 1
+  UNION ALL SELECT e.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts > s.start + INTERVAL 1 DAY GROUP BY 1)
+  SELECT event_id, row_number() OVER (PARTITION BY e.user_id, s.start ORDER BY ts, event_id) <= 2 AS allowed
+  FROM events e ASOF JOIN s ON e.user_id = s.user_id AND e.ts >= s.start""")
+def rate_limit_anchored(t):
+    return stats.anchored_window_limit(t("events"), key="user_id", ties=("event_id",), seconds=86400, most=2).select("event_id", "allowed")
+
+
 @query("""SELECT key, CASE key WHEN 'k' THEN 'unchanged' WHEN 'n' THEN CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE 'unchanged' END WHEN 'x' THEN 'removed' ELSE 'added' END AS status, count(*) AS n
   FROM customer, (VALUES ('k'), ('n'), ('x'), ('y')) AS v(key) GROUP BY 1, 2""")
 def config_diff(t):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import rfc3339_text, sanitize_segment
-from ..operators import syslog
+from ..operators import ingest, syslog
 from ..operators.json_streams import TABLES, suricata_table, zeek_envelope, zeek_table
 from ..operators.payload import structured_records
 from ..operators.route import cap_partitions, with_date
@@ -61,6 +61,11 @@ def write_events(events: DataFrame, prefix: str, *, at: Column | None = None) ->
     write_table(to_table(events), prefix, at=at, partition_by=("event_id",))
 
 
+def write_generic(rows: DataFrame, prefix: str, *, at: Column | None = None) -> None:
+    """Rows of HTTP-collector, NDJSON and OpenTelemetry bodies, by ``segment=``: the sourcetype, cleaned for paths."""
+    write_table(rows.select(*ingest.COLUMNS, sanitize_segment(F.col("sourcetype")).alias("segment")), prefix, at=at, partition_by=("segment",))
+
+
 def write_capped(rows: DataFrame, prefix: str, key: str, seq: str, most: int, *, at: Column | None = None) -> None:
     """By ``segment=``: the first ``most`` values of ``key``, cleaned for paths, then ``_overflow``."""
     capped = cap_partitions(rows.withColumn("__segment", sanitize_segment(F.col(key))), "__segment", seq, most).drop("__segment")
