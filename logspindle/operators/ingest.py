@@ -18,11 +18,19 @@ from .json_streams import typed
 COLUMNS = ["sourcetype", "host", "time", "received_at", "fields"]
 
 
+def _split(bodies: DataFrame) -> DataFrame:
+    """Adds the non-blank lines of each body; null where it isn't UTF-8."""
+    text = F.when(F.is_valid_utf8("body"), F.col("body").cast("string"))
+    return bodies.withColumn("__lines", F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.regexp_replace(x, r"\s", "") != ""))
+
+
+def _whole(valid) -> Column:
+    return F.coalesce(F.forall("__lines", lambda x: valid(F.try_parse_json(x))), F.lit(False))
+
+
 def _lines(bodies: DataFrame, valid) -> DataFrame:
     """Non-blank lines of the bodies of which every line is ``valid``."""
-    text = F.when(F.is_valid_utf8("body"), F.col("body").cast("string"))
-    each = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.regexp_replace(x, r"\s", "") != "")
-    kept = bodies.withColumn("__lines", each).where(F.col("__lines").isNotNull() & F.forall("__lines", lambda x: valid(F.try_parse_json(x))))
+    kept = _split(bodies).where(_whole(valid))
     return kept.select("*", F.posexplode("__lines").alias("line_no", "line")).withColumn("doc", F.try_parse_json("line")).drop("__lines")
 
 
@@ -37,10 +45,19 @@ def epoch_time(seconds: Column) -> Column:
     return F.when(seconds.between(-62_135_596_800, 253_402_300_799), F.timestamp_micros(micros))
 
 
+def _has_event(d: Column) -> Column:
+    keys = F.map_keys(F.try_variant_get(d, "$", "map<string,variant>"))
+    return F.coalesce(d.isNotNull() & F.schema_of_variant(d).startswith("OBJECT") & F.array_contains(keys, "event"), F.lit(False))
+
+
+def hec_rejected(bodies: DataFrame) -> DataFrame:
+    """The bodies that ``hec_events`` leaves out whole; one without lines isn't among them."""
+    return _split(bodies).where(~_whole(_has_event)).drop("__lines")
+
+
 def hec_events(bodies: DataFrame, *, received_at: Column | None = None) -> DataFrame:
     """Rows from (body_id, body, default_sourcetype): an object with ``event`` a line. One bad line rejects its whole body."""
-    has = lambda d: F.coalesce(d.isNotNull() & F.schema_of_variant(d).startswith("OBJECT") & F.array_contains(F.map_keys(F.try_variant_get(d, "$", "map<string,variant>")), "event"), F.lit(False))
-    rows = _lines(bodies, has)
+    rows = _lines(bodies, _has_event)
     doc = F.col("doc")
     return rows.select("body_id", "line_no", F.coalesce(typed(doc, "sourcetype", "str"), F.col("default_sourcetype")).alias("sourcetype"), typed(doc, "host", "str").alias("host"), epoch_time(typed(doc, "time", "f64")).alias("time"), _at(received_at).alias("received_at"), F.to_json(F.try_variant_get(doc, "$.event", "variant")).alias("fields"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import flows, ingest, json_streams, netflow5, payload, route, sflow, stats, syslog, windows_events
+from ..operators import counters, flows, ingest, json_streams, netflow5, payload, route, sflow, stats, syslog, windows_events
 from ..sources import network
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,6 +423,32 @@ def metric_counters(t):
     return stats.counters(t("events").withColumnRenamed("event_type", "kind"), "events_received", "kind")
 
 
+@query("""WITH e AS (SELECT event_id % 4 AS a, event_id % 5 AS b, event_id % 3 AS c, event_type FROM events)
+  SELECT 'syslog_messages_received' AS metric, NULL AS label, count(*) AS value FROM e WHERE a <> 3
+  UNION ALL SELECT 'syslog_oversized_lines', NULL, count(*) FROM e WHERE a = 3
+  UNION ALL SELECT 'syslog_parse_errors', NULL, count(*) FROM e WHERE a = 0
+  UNION ALL SELECT 'syslog_payload_parsed', CASE a WHEN 1 THEN 'cef' ELSE 'radius' END, count(*) FROM e WHERE a IN (1, 2) GROUP BY 2
+  UNION ALL SELECT s || '_oversized_lines', NULL, count(*) FROM e, (VALUES ('zeek'), ('suricata')) AS v(s) WHERE b = 0 GROUP BY s
+  UNION ALL SELECT s || '_parse_errors', NULL, count(*) FROM e, (VALUES ('zeek'), ('suricata')) AS v(s) WHERE b = 1 GROUP BY s
+  UNION ALL SELECT s || '_records_received', NULL, count(*) FROM e, (VALUES ('zeek'), ('suricata')) AS v(s) WHERE b > 1 GROUP BY s
+  UNION ALL SELECT m, NULL, count(*) FROM e, (VALUES ('zeek_missing_path'), ('suricata_missing_event_type')) AS v(m) WHERE b = 2 GROUP BY m
+  UNION ALL SELECT m, CASE b WHEN 2 THEN 'unknown' ELSE event_type END AS label, count(*)
+    FROM e, (VALUES ('zeek_records_by_path'), ('suricata_records_by_event_type')) AS v(m) WHERE b > 1 GROUP BY m, 2
+  UNION ALL SELECT 'hec_events_received', NULL, 2 * count(*) FROM e WHERE c > 0
+  UNION ALL SELECT 'hec_parse_errors', NULL, count(*) FROM e WHERE c = 0""")
+def input_counters(t):
+    events = t("events")
+    head = F.lit("<34>Mar  3 04:05:06 h fw: ")
+    line = F.when(ID % 4 == 0, "noise").when(ID % 4 == 1, _s(head, _CEF)).when(ID % 4 == 2, _s(head, "Login OK: [u", USER, "] (from client vpn port 1)")).otherwise(_s(head, F.repeat(F.lit("x"), 400)))
+    row = lambda key: F.when(ID % 5 == 0, _s('{"a":"', F.repeat(F.lit("x"), 90), '"}')).when(ID % 5 == 1, "{").when(ID % 5 == 2, _s('{"a":', ID, "}")).otherwise(_s(f'{{"{key}":"', KIND, '"}'))
+    body = F.when(ID % 3 == 0, _s('{"event":', ID, '}\n{"events":1}')).otherwise(_s('{"event":', ID, '}\n\n{"event":null}'))
+    return counters.together(
+        counters.syslog_counters(events.select(line.alias("value")), year=2024, max_bytes=400),
+        *[counters.stream_counters(events.select(row(key).alias("value")), name, max_bytes=80) for name, (key, _, _) in counters.STREAMS.items()],
+        counters.hec_counters(events.select(ID.alias("body_id"), body.cast("binary").alias("body"), F.lit("d").alias("default_sourcetype"))),
+    )
+
+
 @query("""SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 50""")
 def latest_entries(t):
     return stats.latest(t("events"), 50, "ts", "event_id").select("event_id", "user_id", "ts")

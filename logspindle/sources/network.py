@@ -36,6 +36,10 @@ class _Listener:
         self.port = self.socket.getsockname()[1]
         threading.Thread(target=self._udp if protocol == "udp" else self._tcp, daemon=True).start()
 
+    def counters(self, source: str) -> dict[str, int]:
+        """What was lost so far, by the counters' names."""
+        return {f"{source}_dropped": self.dropped, f"{source}_oversized_lines": self.oversize, f"{source}_tcp_connections_rejected": self.refused}
+
     def _put(self, peer: str, data: bytes) -> None:
         try:
             self.queue.put_nowait((time.time(), peer, data))
