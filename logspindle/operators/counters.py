@@ -24,7 +24,7 @@ def tally(rows: DataFrame, marks: dict[str, Column | tuple[Column, Column]]) ->
 
 
 def syslog_counters(lines: DataFrame, col: str = "value", *, year: Column | int | None = None, max_bytes: int = MAX_LINE) -> DataFrame:
-    """Lines received, too long, or in no format, and payloads by their type."""
+    """Lines received, too long, or in no format, and payloads by their type. Null lines count nowhere."""
     fits = F.octet_length(col) <= max_bytes
     rows = payload.dispatch(syslog.parse_syslog(lines.withColumn("__fits", fits).withColumn(col, F.when(F.col("__fits"), F.col(col))), col, year=year))
     read, parsed = F.col("__fits"), F.col("protocol").isNotNull()
@@ -35,7 +35,7 @@ def syslog_counters(lines: DataFrame, col: str = "value", *, year: Column | int
 
 
 def stream_counters(lines: DataFrame, stream: str, col: str = "value", *, max_bytes: int = 16 << 20) -> DataFrame:
-    """The same of ``zeek`` or ``suricata`` lines: records by route, those without one, lines that are too long or not JSON. Empty lines count nowhere."""
+    """The same of ``zeek`` or ``suricata`` lines: records by route, those without one, lines that are too long or not JSON. Empty and null lines count nowhere."""
     key, missing, by = STREAMS[stream]
     rows = lines.where(F.col(col) != "").withColumn("__fits", F.octet_length(col) <= max_bytes)
     rows = rows.withColumn("__doc", F.when(F.col("__fits"), F.try_parse_json(col)))

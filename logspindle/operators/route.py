@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import bind, ipv4_number, ipv6_hex, xml_escape
 
 OVERFLOW = "_overflow"
+#: Keys that are broadcast at most; with a larger cap they are joined by shuffle.
+BROADCAST_KEYS = 1 << 16
 
 
 def cap_partitions(rows: DataFrame, key: str, seq: str, most: int) -> DataFrame:
@@ -23,7 +25,7 @@ def cap_partitions(rows: DataFrame, key: str, seq: str, most: int) -> DataFrame:
         return rows.withColumn("segment", F.col(key))
     first = rows.groupBy(F.col(key).alias("__key")).agg(F.min(seq).alias("__first"))
     kept = first.orderBy("__first", "__key").limit(most)
-    joined = rows.join(F.broadcast(kept), F.col(key).eqNullSafe(F.col("__key")), "left")
+    joined = rows.join(F.broadcast(kept) if most <= BROADCAST_KEYS else kept.hint("merge"), F.col(key).eqNullSafe(F.col("__key")), "left")
     return joined.withColumn("segment", F.when(F.col("__first").isNotNull(), F.col(key)).otherwise(OVERFLOW)).drop("__key", "__first")
 
 

@@ -1,4 +1,4 @@
-"""Settings, forwarders, windows that begin at a request."""
+"""Settings, forwarders, windows that begin at a request, counters."""
 
 import http.server
 import json
@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logspindle import config
-from logspindle.operators import ingest, stats
-from logspindle.sources import forward, sinks
+from logspindle.operators import counters, ingest, route, stats
+from logspindle.sources import forward, network, sinks
 
 
 def test_the_last_layer_wins(tmp_path):
@@ -100,3 +100,23 @@ def test_windows_begin_at_a_request(spark):
     assert {r.n: r.allowed for r in out} == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True, 10: True, 11: None, 12: True, 13: False}
     none = spark.createDataFrame([], "ip string, ts timestamp")
     assert stats.anchored_window_limit(none).collect() == []
+
+
+def test_counters_of_edge_cases(spark):
+    text = spark.createDataFrame([(None,), ("",), ("{",), ("[1]",), ('{"_path":7}',), ('{"_path":"conn"}',), ('{"_path":"' + "x" * 90 + '"}',)], "value string")
+    got = {(r.metric, r.label): r.value for r in counters.stream_counters(text, "zeek", max_bytes=50).collect()}
+    assert got == {("zeek_parse_errors", None): 1, ("zeek_oversized_lines", None): 1, ("zeek_records_received", None): 3, ("zeek_missing_path", None): 2, ("zeek_records_by_path", "unknown"): 2, ("zeek_records_by_path", "conn"): 1}
+    lines = spark.createDataFrame([(None,), ("",), ("noise",), ("<34>Mar  3 04:05:06 h su: x",)], "value string")
+    got = {(r.metric, r.label): r.value for r in counters.syslog_counters(lines, year=2024).collect()}
+    assert got == {("syslog_messages_received", None): 3, ("syslog_parse_errors", None): 2}
+    bodies = spark.createDataFrame([(1, bytearray(b"\xff"), "d"), (2, bytearray(b" \n"), "d"), (3, None, "d"), (4, bytearray(b'{"event":1}\n{"event":2}'), "d")], "body_id long, body binary, default_sourcetype string")
+    assert {r.metric: r.value for r in counters.hec_counters(bodies).collect()} == {"hec_events_received": 2, "hec_parse_errors": 2}
+    assert network._Listener("udp", "127.0.0.1", 0, 10).counters("zeek") == {"zeek_dropped": 0, "zeek_oversized_lines": 0, "zeek_tcp_connections_rejected": 0}
+
+
+def test_large_caps_are_joined_by_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "a"), (5, "d")], "seq long, k string")
+    small = sorted(map(str, route.cap_partitions(rows, "k", "seq", 3).collect()))
+    monkeypatch.setattr(route, "BROADCAST_KEYS", 0)
+    out = route.cap_partitions(rows, "k", "seq", 3)
+    assert sorted(map(str, out.collect())) == small and "BroadcastHashJoin" not in out._jdf.queryExecution().toString()
