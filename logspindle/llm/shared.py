@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 
 #: Keys of more rows than this, and than a 2**20th of all rows, are joined by broadcast: at most 2**20 keys.
 HOT = 64
+#: On a local disk and without native libraries, Hadoop starts a ``chmod`` for each folder and file it makes, and three more for a file
+#: with a checksum file; while one is being started, it has its executor's whole memory beside the executor. So intermediate tables are
+#: written there without checksum files (their pages have checksums of their own) and without a ``_SUCCESS``. Other file systems don't know the first two.
+_WRITE = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "parquet.page.write-checksum.enabled": "true",
+}
+_READ = {"parquet.page.verify-checksum.enabled": "true"}
+#: A step over stored tables is written in a file for each 2**25 of their bytes, and in ``WAVES`` files for each core if that is more.
+FILE_BITS, WAVES = 25, 2
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,23 +41,34 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def settle(df: DataFrame, **options) -> DataFrame:
-    """``df`` written (with ``options``) to a table in the shared folder and read from there: its lineage ends, and lost executors cost nothing."""
+def _stored(df: DataFrame):
+    """The settled table's path and file system."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def settle(df: DataFrame, of: list[DataFrame] | None = None, **options) -> DataFrame:
+    """``df`` written (with ``options``) to a table in the shared folder and read from there: its lineage ends, and lost executors cost nothing.
+
+    ``of``: the tables that ``df`` is made of; where all are settled, it is written in few files, as their bytes allow, however many partitions it has.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    if of and all(getattr(x, "_settled_at", None) for x in of):
+        held = sum(fs.getContentSummary(at).getLength() for at, fs in map(_stored, of))
+        df = df.coalesce(max(WAVES * spark.sparkContext.defaultParallelism, held >> FILE_BITS))
+    df.write.options(**_WRITE, **options).parquet(path)
+    out = spark.read.schema(df.schema).options(**_READ).parquet(path)
     out._settled_at = path
     return out
 
 
 def discard(df: DataFrame | None) -> None:
     """Deletes a settled table that nothing will read again."""
-    path = getattr(df, "_settled_at", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if getattr(df, "_settled_at", None):
+        path, fs = _stored(df)
+        fs.delete(path, True)
 
 
 def join_hot(rows: DataFrame, stats: DataFrame, keys: list[str], size: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -392,6 +393,47 @@ def test_cross_pairs_miss_no_link(spark, monkeypatch, broadcast):
                 assert (i, j) in got
 
 
+def test_intermediate_tables_start_few_processes(spark, monkeypatch):
+    """Hadoop starts one for each file and folder on a local disk, and more for checksum files."""
+    of = lambda df: Path(df._settled_at.removeprefix("file:"))
+    values = spark.range(3000, numPartitions=3).select("id", F.xxhash64("id").alias("h"))
+    stored = shared.settle(values)
+    assert sorted(f.suffix for f in of(stored).iterdir()) == [".parquet"] * 3
+    assert sorted(stored.collect()) == sorted(values.collect())
+    many = spark.range(1000, numPartitions=300)
+    few = shared.settle(many, [stored])
+    assert len(list(of(few).iterdir())) == shared.WAVES * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in few.collect()) == list(range(1000))
+    monkeypatch.setattr(shared, "FILE_BITS", 4)  # more bytes, more files
+    assert len(list(of(shared.settle(many, [stored])).iterdir())) == 300
+    file = max(of(stored).iterdir())
+    raw = bytearray(file.read_bytes())
+    raw[len(raw) // 2] ^= 1
+    file.write_bytes(raw)
+    with pytest.raises(Exception, match="(?i)crc|checksum"):
+        stored.collect()
+
+
+def test_jaccard_join_keeps_few_files(spark, monkeypatch):
+    """However many partitions the session's shuffles have."""
+    rng = random.Random(17)
+    texts = [prose(rng, 60) for _ in range(12)]
+    texts = [f"{t} {k}" for t in texts for k in range(3)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    stored, settle = [], shared.settle
+    monkeypatch.setattr(jaccard, "settle", lambda *a, **o: stored.append(settle(*a, **o)) or stored[-1])
+    monkeypatch.setattr(jaccard, "discard", lambda df: None)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = jaccard.link(frame(spark, texts)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
+    assert max(len(list(Path(x._settled_at.removeprefix("file:")).glob("*.parquet"))) for x in stored) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_sketch_blocks_are_a_pigeonhole():
     """At least one block of the sketch of linked sets is equal, for all sizes."""
     rng = np.random.default_rng(5)
