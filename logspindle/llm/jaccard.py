@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..ship import map_arrow
 from . import textvec as tv
-from .shared import discard, join_hot, settle
+from .shared import discard, join_hot, store
 
 SHINGLE = 5
 #: Two sets link when NUMERATOR * union <= 100 * intersection.
@@ -208,9 +208,9 @@ def candidates(reps: DataFrame) -> DataFrame:
     """
     rows = reps.select("id", F.explode("keys").alias("key"))
     lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
-    lead = settle(lead.where(F.col("size") > 1), [reps])
+    lead = store(lead.where(F.col("size") > 1), [reps])
     two = lead.where(F.col("size") == 2).select(F.col("low").alias("a"), F.col("high").alias("b"))
-    shared = settle(join_hot(rows, lead.where(F.col("size") > 2), ["key"], "size"), [reps])
+    shared = store(join_hot(rows, lead.where(F.col("size") > 2), ["key"], "size"), [reps])
     some = shared.where(F.col("size") <= GROUP).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
     inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, GROUP), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = some.select(F.explode(inner).alias("p")).select("p.a", "p.b")
@@ -278,18 +278,18 @@ def cross_pairs(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = F.min(F.when(F.col("early"), F.col("n")))
     span = [F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), first.alias("first")]
     # few rare shingles lie in several components: they go to the tasks where they are few enough
-    mixed = settle(rows.groupBy("token").agg(*span).where((F.col("lo") < F.col("hi")) & F.col("first").isNotNull()).select("token", "size"), [held])
+    mixed = store(rows.groupBy("token").agg(*span).where((F.col("lo") < F.col("hi")) & F.col("first").isNotNull()).select("token", "size"), [held])
     rows = _with_tokens(held, mixed, percent) if mixed.count() <= BROADCAST else join_hot(rows, mixed, ["token"], "size").drop("size")
-    rows = settle(rows.withColumn("reach", F.floor(F.col("left") * (100 + percent) / percent).cast("long") - F.col("n")), [held])
+    rows = store(rows.withColumn("reach", F.floor(F.col("left") * (100 + percent) / percent).cast("long") - F.col("n")), [held])
     # a set whose partners would all be smaller than the token's smallest set, or out of the others' reach, has none by this token
-    ends = settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("reach").alias("far"), first.alias("first")), [rows])
+    ends = store(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("reach").alias("far"), first.alias("first")), [rows])
     fits = (F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("far")) & (F.col("early") | (F.col("n") >= F.col("first")))
-    fit = settle(join_hot(rows, ends, ["token"], "size").where(fits).drop("size", "least", "far", "first"), [rows, ends])
+    fit = store(join_hot(rows, ends, ["token"], "size").where(fits).drop("size", "least", "far", "first"), [rows, ends])
     # members of a token's largest component aren't compared with each other: each lies in one part, and the others come to it
     sizes = fit.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
     parts = lambda n: F.ceil(n / PART).cast("long")
-    of = settle(sizes.where("components > 1").select("token", "size", F.col("top.component").alias("top"), parts(F.col("top.n")).alias("tops"), parts(F.col("size") - F.col("top.n")).alias("others")), [fit])
+    of = store(sizes.where("components > 1").select("token", "size", F.col("top.component").alias("top"), parts(F.col("top.n")).alias("tops"), parts(F.col("size") - F.col("top.n")).alias("others")), [fit])
     in_top = F.col("component") == F.col("top")
     upto = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -378,7 +378,7 @@ def verify(pairs: DataFrame, hashed: DataFrame, percent: int = PERCENT) -> DataF
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
     """``df``, which has about ``rows`` small rows, stored in as few files as these need."""
-    return settle(df.coalesce(max(1, rows >> 18)))
+    return store(df.coalesce(max(1, rows >> 18)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -426,45 +426,45 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     key groups may hide links; so a second step looks for all pairs that can link across the components so far, by the rarest shingles of each set: no link is missed.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = settle(sketches(rows, percent))
+    base = store(sketches(rows, percent))
     own = base.where("n_shingles >= 0").drop("keys", "counts")
     full = base.where("n_shingles > 0")
     reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"))
-    reps = settle(reps.withColumn("id", F.monotonically_increasing_id()), [base])
+    reps = store(reps.withColumn("id", F.monotonically_increasing_id()), [base])
     repeats = not own.groupBy("doc_id").count().where("count > 1").isEmpty()
     once = lambda df: df.dropDuplicates(["id"]) if repeats else df
     names = reps.select("id", "low", "h1", "h2")
 
     def hashed(pairs: DataFrame) -> DataFrame:
-        ids = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(names, "id"), [reps, pairs])
+        ids = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(names, "id"), [reps, pairs])
         texts, ids = _texts_of(rows, ids)
-        return settle(once(sets(texts).join(ids, ["h1", "h2"]).select("id", "hashes")))
+        return store(once(sets(texts).join(ids, ["h1", "h2"]).select("id", "hashes")))
 
-    pairs = settle(candidates(reps), [reps])
+    pairs = store(candidates(reps), [reps])
     held = hashed(pairs)
     # first each id with its smallest partner, then what that hasn't joined
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    edges = settle(verify(first, held, percent), [pairs, held])
+    edges = store(verify(first, held, percent), [pairs, held])
     joined = components(edges)
     comp = lambda x: joined.select(F.col("id").alias(x), F.col("component").alias("c" + x))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    edges = settle(edges.unionByName(verify(apart, held, percent)), [edges, pairs, held])
+    edges = store(edges.unionByName(verify(apart, held, percent)), [edges, pairs, held])
     found = components(edges)
     discard(held)
     # all pairs of sets from different components that can link
-    mine = settle(names.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), [reps, found])
+    mine = store(names.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), [reps, found])
     texts, mine = _texts_of(rows, mine)
-    sets_ = settle(once(prefixes(texts, levels(base), percent).where("n > 0").join(mine, ["h1", "h2"]).select("id", "component", "n", "tokens", "bits")))
-    more = settle(cross_pairs(sets_, percent), [sets_])
+    sets_ = store(once(prefixes(texts, levels(base), percent).where("n > 0").join(mine, ["h1", "h2"]).select("id", "component", "n", "tokens", "bits")))
+    more = store(cross_pairs(sets_, percent), [sets_])
     discard(sets_)
     if not more.isEmpty():
         held = hashed(more)
-        last = settle(verify(more, held, percent), [more, held])
+        last = store(verify(more, held, percent), [more, held])
         if not last.isEmpty():
-            found = components(settle(edges.unionByName(last), [edges, last]))
+            found = components(store(edges.unionByName(last), [edges, last]))
     named = names.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    out = own.join(settle(named.join(lowest, "component").select("h1", "h2", "component_id"), [reps, found]), ["h1", "h2"], "left")
+    out = own.join(store(named.join(lowest, "component").select("h1", "h2", "component_id"), [reps, found]), ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -478,9 +478,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     linked = link(placed, id_col="__row", text_col=text_col, percent=percent).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__row")
     groups = linked.join(linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("component_id"), "component_id", "left_semi")
-    groups = settle(groups.join(placed.select("__row", id_col), "__row").withColumn("order", order))
+    groups = store(groups.join(placed.select("__row", id_col), "__row").withColumn("order", order))
     kept = groups.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.__row").alias("__row"))
-    rest = settle(groups.select("__row").join(kept, "__row", "left_anti"))
+    rest = store(groups.select("__row").join(kept, "__row", "left_anti"))
     return placed.join(rest, "__row", "left_anti").drop("__row")
 
 

@@ -414,14 +414,29 @@ def test_intermediate_tables_start_few_processes(spark, monkeypatch):
         stored.collect()
 
 
+def test_tables_stored_by_workers_are_whole(spark):
+    """What a task that doesn't count has written isn't read; types, nulls and empty tables stay."""
+    rows = [(1, "a", b"\x00", [1, None], [], True, 0.5), (None, None, None, None, None, None, None), (3, "", b"", [], ["é"], False, None)]
+    given = spark.createDataFrame(rows, "a long, b string, c binary, d array<long>, e array<string>, f boolean, g double")
+    stored = shared.store(given)
+    path = Path(stored._settled_at.removeprefix("file://"))
+    files = list(path.iterdir())
+    assert files and {f.suffix for f in files} == {".parquet"}
+    (path / ".again.parquet").write_bytes(files[0].read_bytes())
+    assert stored.schema == given.schema and sorted(stored.collect(), key=str) == sorted(given.collect(), key=str)
+    assert shared.store(given.limit(0)).collect() == []
+    shared.discard(stored)
+    assert not path.exists()
+
+
 def test_jaccard_join_keeps_few_files(spark, monkeypatch):
     """However many partitions the session's shuffles have."""
     rng = random.Random(17)
     texts = [prose(rng, 60) for _ in range(12)]
     texts = [f"{t} {k}" for t in texts for k in range(3)]
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
-    stored, settle = [], shared.settle
-    monkeypatch.setattr(jaccard, "settle", lambda *a, **o: stored.append(settle(*a, **o)) or stored[-1])
+    stored, store = [], shared.store
+    monkeypatch.setattr(jaccard, "store", lambda *a: stored.append(store(*a)) or stored[-1])
     monkeypatch.setattr(jaccard, "discard", lambda df: None)
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "30")
