@@ -11,6 +11,7 @@ TEMPLATE_AND_DATA = "000a002c675cb0200000000100000000000200100100000200080004000
 TWO = "000a0034675cb0200000000200000000000200100100000200080004000c000401000014c0a801010a000001c0a801020a000002"
 UNKNOWN = "000a0024675cb02000000002000000000002000c0101000103e7000401010008deadbeef"
 MISSING = "000a0018675cb0200000000300000000012c0008aabbccdd"
+OPTIONS_AND_DATA = "000a0036675cb020000000000000000100030016012c00020001009400080008000400000000012c00100000000000000007c0a8010a"
 V9 = "00090002000f4240675cb0200000000100000005000000140100000300080004000c00040001000401000010ac10000108080808000003e8"
 V5 = "00050001000f4240675cb020000000000000000100000000c0a8010ac0a80101000000000001000200000005000001f4000f4200000f423c1f900050001806000000000000000000"
 SFLOW_IP4 = "00000005000000010a0000010000000000000002000007d00000000100000001000000480000000200000001000003e8000003e80000000000000003000000040000000100000003000000200000003c00000011ac100001080808080000c03a000000350000000000000000"
@@ -132,7 +133,7 @@ def most_read(spark, frame):
 def test_a_busy_exporter_spreads_over_tasks(spark):
     """Each of one exporter's datagrams repeats its template; neither the templates nor the data meet in one task."""
     n = 20_480
-    for payload in (TEMPLATE_AND_DATA,):
+    for payload in (TEMPLATE_AND_DATA, OPTIONS_AND_DATA):
         df = spark.range(n).selectExpr("id AS seq", "'e' AS exporter", f"unhex('{payload}') AS payload")
         assert flows.decode_flows(df).count() == n
         assert 0 < most_read(spark, flows.decode_flows(df)) < n  # the datagrams' sets are 2 n
